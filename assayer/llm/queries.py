@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import cutoff, splits
+from assayer.llm import cutoff, neardup, overlap, splits
 from assayer.session import Scratch, load
 
 
@@ -22,6 +23,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(records, splits.assign_splits(records))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(load(spark, d, "pool_index"), Scratch(spark, "p2"))
+    return pairs.select(F.least("eval_id", "train_id").alias("pool_id_a"), F.greatest("eval_id", "train_id").alias("pool_id_b"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    pool = load(spark, d, "pool_index")
+    return overlap.overlap_report(pool, overlap.cross_split_pairs(pool, Scratch(spark, "p2")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_scores(load(spark, d, "image_scores"))[0].select("score_id")
 
@@ -30,6 +41,11 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_scores(load(spark, d, "image_scores"))[1]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each group of two or more alike rows."""
+    return neardup.picture_groups(load(spark, d, "pool_index"), Scratch(spark, "p4")).where("group_size > 1").select("pool_id", "group_id")
+
+
 P3_COUNTED = r"""
 counted AS (
   SELECT score_id, detector_id, dataset, regexp_replace(lower(trim(source)), '[-_\s]+', '_', 'g') AS source, image_score AS score
@@ -45,7 +61,7 @@ ranked AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p3_found, p3_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found)}
 
 
 def oracle_sql() -> dict[str, str]:
