@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import cutoff, neardup, overlap, splits
+from assayer.llm import canon, cutoff, leak, neardup, overlap, splits, tokenids
 from assayer.session import Scratch, load
 
 
@@ -46,6 +46,38 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.picture_groups(load(spark, d, "pool_index"), Scratch(spark, "p4")).where("group_size > 1").select("pool_id", "group_id")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenids.token_ids(load(spark, d, "documents"), Scratch(spark, "p6"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return tokenids.round_trip(docs, tokenids.token_ids(docs, Scratch(spark, "p6")), spark)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaking(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    items = load(spark, d, "eval_items")
+    return leak.leaked_items(items, leak.leaking(load(spark, d, "documents"), items))
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return leak.kept_documents(docs, leak.leaking(docs, load(spark, d, "eval_items"))).select("doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.look_alikes(load(spark, d, "documents"), Scratch(spark, "p8"))
+
+
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical form of every document."""
+    return canon.canonical_texts(load(spark, d, "documents")).select("doc_id", "canonical")
+
+
 P3_COUNTED = r"""
 counted AS (
   SELECT score_id, detector_id, dataset, regexp_replace(lower(trim(source)), '[-_\s]+', '_', 'g') AS source, image_score AS score
@@ -61,7 +93,10 @@ ranked AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found)}
+    return {f.__name__: f for f in (
+        p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found,
+        p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_texts,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
