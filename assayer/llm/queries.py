@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import canon, cutoff, leak, neardup, overlap, splits, tokenids
+from assayer.llm import canon, cutoff, digest, leak, neardup, overlap, splits, tokenids
 from assayer.session import Scratch, load
 
 
@@ -46,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.picture_groups(load(spark, d, "pool_index"), Scratch(spark, "p4")).where("group_size > 1").select("pool_id", "group_id")
 
 
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return digest.all_percentiles(load(spark, d, "image_scores"), load(spark, d, "pool_index"), Scratch(spark, "p5"))
+
+
+def p5_day_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return digest.unmasked(digest.all_day_summaries(load(spark, d, "image_scores"), load(spark, d, "pool_index"), Scratch(spark, "p5")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenids.token_ids(load(spark, d, "documents"), Scratch(spark, "p6"))
 
@@ -95,7 +103,7 @@ ranked AS (
 def queries() -> dict:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found,
-        p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_texts,
+        p5_percentiles, p5_day_summaries, p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_texts,
     )}
 
 
