@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from assayer.plans import evaluation
+
+MODULES = (evaluation,)
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out.update(m.queries())
+    return out
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    out: dict = {}
+    for m in MODULES:
+        out.update(m.oracle_sql())
+    return out
