@@ -188,13 +188,12 @@ MIX = SP + ", " + WORST + ", " + MISS + """,
 cuts AS (SELECT detector_id, miss, cut, least(t_real, cut) AS t_real FROM miss JOIN worst USING (detector_id)),
 mix AS (SELECT detector_id, miss, dataset, source, label, count(*) AS n, """ + RATE.format("score > cut") + " AS ai, " + RATE.format("score > t_real AND score <= cut") + " AS abstain, " + RATE.format("score <= t_real") + """ AS real
   FROM ev JOIN cuts USING (detector_id) GROUP BY ALL)"""
-AUC = """round(sum(CASE WHEN {pos} = 1 THEN rk END)::DOUBLE / (n_pos::DOUBLE * n_neg) - (n_pos + 1)::DOUBLE / (2 * n_neg), 9)"""
 
 
 def _auc(rows: str, keys: str) -> str:
     """Mann-Whitney with average ranks over (keys, score, pos)."""
     return f"""SELECT {keys}, n_neg, n_pos, CASE WHEN n_neg > 0 AND n_pos > 0 THEN round((s - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos::DOUBLE * n_neg), 9) END AS auc
-    FROM (SELECT {keys}, sum(pos) AS n_pos, sum(1 - pos) AS n_neg, sum(CASE WHEN pos = 1 THEN rk END) AS s FROM (
+    FROM (SELECT {keys}, sum(pos)::BIGINT AS n_pos, sum(1 - pos)::BIGINT AS n_neg, sum(CASE WHEN pos = 1 THEN rk END) AS s FROM (
       SELECT {keys}, pos, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2.0::DOUBLE AS rk FROM {rows}) GROUP BY {keys})"""
 
 

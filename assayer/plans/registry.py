@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import evaluation
+from assayer.plans import evaluation, pools
 
-MODULES = (evaluation,)
+MODULES = (evaluation, pools)
 
 
 def queries() -> dict:
