@@ -227,4 +227,4 @@ def near_pairs(
 def near_pairs_brute(values: list[int], errors: int) -> set[tuple[int, int]]:
     """All pairs by comparison of everything with everything, for tests."""
     x = np.array([v & (2**64 - 1) for v in values], dtype=np.uint64)
-    return {(values[a], values[b]) for i, j in _near(x, x, errors) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+    return {tuple(sorted((values[a], values[b]))) for i, j in _near(x, x, errors) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}

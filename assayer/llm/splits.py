@@ -87,7 +87,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
     """Best of a few annealing chains over whole components.
 
     comp, strat, num: the profile in coordinates; goal: strata x splits. Cost is the sum of squared
-    deviations relative to the goal, by stratum and for the totals. A move puts one component into
+    deviations relative to the goal, by stratum and, with as much weight as all strata, for the totals. A move puts one component into
     another split, an exchange swaps two; both cost only the strata they touch.
     """
     k = goal.shape[1]
@@ -97,7 +97,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
     prof = [list(zip(strat[i:j].tolist(), num[i:j].tolist(), strict=True)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
     size = [sum(n for _, n in p) for p in prof]
     inv = 1.0 / np.maximum(goal, 1.0)
-    total_goal, total_inv = goal.sum(0), 1.0 / np.maximum(goal.sum(0), 1.0)
+    total_inv = len(goal) / np.maximum(goal.sum(0), 1.0)
     best, best_cost = start, None
     for chain in range(chains):
         rng = np.random.default_rng([seed, chain])
