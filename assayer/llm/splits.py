@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,7 +85,7 @@ def tie_groups(records: DataFrame, scratch: Scratch, carry: list[Column] | None
     return rows.join(placed, "node").select("score_id", "group_id", "group_size", *extra)
 
 
-def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
+def _anneal(ids, start, comp, strat, num, goal, seed, passes=2, chains=2):
     """Best of a few annealing chains over whole components.
 
     comp, strat, num: the profile in coordinates; goal: strata x splits. Cost is the sum of squared
@@ -135,7 +137,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
             if k > 1 and i % 3:
                 to = (at[c] + tos[i]) % k
                 x = delta(c, to)
-                if x <= 0 or dice[i] < np.exp(-x / temp):
+                if x <= 0 or dice[i] < exp(-x / temp):
                     put(c, to)
                     cost += x
             elif at[o := others[i]] != at[c]:
@@ -143,7 +145,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
                 x = delta(c, there)
                 put(c, there)
                 x += delta(o, here)
-                if x <= 0 or dice[i] < np.exp(-x / temp):
+                if x <= 0 or dice[i] < exp(-x / temp):
                     put(o, here)
                     cost += x
                 else:
