@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import evaluation, pools
+from assayer.plans import evaluation, extras, pools
 
-MODULES = (evaluation, pools)
+MODULES = (evaluation, pools, extras)
 
 
 def queries() -> dict:
