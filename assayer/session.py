@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,8 +23,17 @@ def get_spark(app: str = "assayer", master: str = "local[*]", shuffle_partitions
     )
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, if they have no copy of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the tables of a data folder."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -52,6 +62,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        let_workers_import(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/assayer-{tag}-{uuid.uuid4().hex[:12]}"
         self.step = 0
