@@ -11,6 +11,8 @@ from assayer.session import Scratch, load
 ANCHOR = "benchyard_real"
 MISSES = [0.1, 0.05, 0.02]
 REPLICATES = 200
+EXTRA = "tramline_cam"
+SEEDS = (42, 1337, 2024)
 COLUMNS = ["score_id", "detector_id", "dataset", "source", "label", "path", "orig_path", "variant", "width", "height", "bytes_per_pixel", "score"]
 
 
@@ -159,6 +161,44 @@ def degraded_pairs(s, d):
     return copy.join(pop.select("detector_id", "path", F.col("score").alias("clean_score")), ["detector_id", "path"], "left").select("score_id", "copy_score", "clean_score")
 
 
+def input_policy(s, d):
+    """Copies against the originals they name, by detector and variant: how far scores move, how often upwards."""
+    pop = _pop(s, d)
+    copy = pop.where("orig_path is not null and orig_path <> path and variant is not null").select("detector_id", "variant", F.col("orig_path").alias("path"), F.col("score").alias("after"))
+    j = copy.join(pop.select("detector_id", "path", F.col("score").alias("before")), ["detector_id", "path"])
+    j = j.withColumn("variant", F.lower(F.trim("variant"))).withColumn("move", F.col("after") - F.col("before"))
+    med = ranks.percentiles(j, ["detector_id", "variant"], "move", {"median_move": 0.5}).select("detector_id", "variant", F.round("median_move", 9).alias("median_move"))
+    return j.groupBy("detector_id", "variant").agg(F.count("*").alias("n"), F.round(protocol.rate(F.col("move") > 0), 9).alias("raised")).join(med, ["detector_id", "variant"])
+
+
+def library_promise(s, d):
+    """False positives on one more real source under the cut of the others, and once it takes part in the fit."""
+    sp = _sp(s, d)
+    new = F.col("source") == EXTRA
+    cal = sp.where("half = 'calibration' and label = 0")
+    frozen = protocol.worst_source_cut(cal.where(~new)).withColumnRenamed("cut", "frozen")
+    refit = protocol.worst_source_cut(cal).withColumnRenamed("cut", "refit")
+    ev = sp.where("half = 'evaluation'").join(frozen, "detector_id").join(refit, "detector_id")
+    pick = lambda c, t: F.round(F.avg(F.when(c, (F.col("score") > F.col(t)).cast("double"))), 9)
+    real, ai = (F.col("label") == 0) & new, F.col("label") == 1
+    return ev.groupBy("detector_id", "frozen", "refit").agg(pick(real, "frozen").alias("frozen_fp"), pick(real, "refit").alias("refit_fp"), pick(ai, "frozen").alias("frozen_recall"), pick(ai, "refit").alias("refit_recall"))
+
+
+def seed_spread(s, d):
+    """Mean and deviation over split seeds of each detector's AUC on its evaluation half."""
+    pop, out = _pop(s, d), None
+    for seed in SEEDS:
+        ev = protocol.stable_halves(pop, seed=seed).where("half = 'evaluation'")
+        a = ranks.auc(ev, ["detector_id"], "score", "label").select("detector_id", F.lit(seed).alias("seed"), "auc")
+        out = a if out is None else out.unionByName(a)
+    return out.groupBy("detector_id").agg(F.count("*").alias("n"), F.round(F.avg("auc"), 9).alias("mean"), F.round(F.stddev_pop("auc"), 9).alias("std"))
+
+
+def stored_bytes(s, d):
+    """Texts and their bytes by source, the largest first in rank."""
+    return load(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 REC = r"""rec AS (
   SELECT * REPLACE (nullif(regexp_replace(lower(trim(source)), '[-_\s]+', '_', 'g'), '') AS source) FROM image_scores
   QUALIFY row_number() OVER (PARTITION BY detector_id, path ORDER BY scored_at DESC, score_id DESC) = 1
@@ -263,6 +303,16 @@ def oracle_sql() -> dict[str, str]:
             round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c""",
         "fp_profile": f"WITH {REC} SELECT {SRC}, count(*) AS n, {RATE.format('score >= 0.5::DOUBLE')} AS at_50, {RATE.format('score >= 0.9::DOUBLE')} AS at_90, {RATE.format('score >= 0.99::DOUBLE')} AS at_99 FROM pop WHERE label = 0 GROUP BY ALL",
         "multi_arm_alignment": f"WITH {REC} SELECT a.path, a.score AS tilenet_a, b.score AS vitscore_b, c.score AS freqarm_c FROM pop a JOIN pop b USING (path) JOIN pop c USING (path) WHERE a.detector_id = 'tilenet_a' AND b.detector_id = 'vitscore_b' AND c.detector_id = 'freqarm_c'",
+        "input_policy": f"""WITH {REC} SELECT a.detector_id, lower(trim(a.variant)) AS variant, count(*) AS n, round(avg((a.score - b.score > 0)::INT::DOUBLE), 9) AS raised, round(quantile_cont(a.score - b.score, 0.5), 9) AS median_move
+            FROM pop a JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path WHERE a.orig_path <> a.path AND a.variant IS NOT NULL GROUP BY 1, 2""",
+        "library_promise": f"""WITH {SP}, {BY_SOURCE}, f AS (SELECT detector_id, max(cut) FILTER (source <> '{EXTRA}') AS frozen, max(cut) AS refit FROM bysrc GROUP BY 1)
+            SELECT detector_id, frozen, refit, {', '.join(f"round(avg((score > {t})::INT::DOUBLE) FILTER ({c}), 9) AS {t}_{n}" for n, c in (('fp', f"label = 0 AND source = '{EXTRA}'"), ('recall', 'label = 1')) for t in ('frozen', 'refit'))}
+            FROM ev JOIN f USING (detector_id) WHERE frozen IS NOT NULL GROUP BY ALL""",
+        "seed_spread": f"""WITH {REC}, s0 AS (SELECT detector_id, score, label, seed, row_number() OVER (PARTITION BY detector_id, dataset, source, label, seed ORDER BY sha256(seed || ':' || path)) AS rk,
+              count(*) OVER (PARTITION BY detector_id, dataset, source, label, seed) AS pn FROM pop, (SELECT unnest([42, 1337, 2024]) AS seed)),
+            e AS (SELECT detector_id, seed, score, label AS pos FROM s0 WHERE NOT (pn >= 2 AND rk <= least(pn - 1, greatest(1, round_even(pn * 0.5::DOUBLE, 0))))),
+            a AS ({_auc('e', 'detector_id, seed').replace('round(', '(').replace(', 9) END', ') END')}) SELECT detector_id, count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_pop(auc), 9) AS std FROM a GROUP BY 1""",
+        "stored_bytes": "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1",
         "degraded_pairs": f"WITH {REC} SELECT a.score_id, a.score AS copy_score, b.score AS clean_score FROM pop a LEFT JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path WHERE a.orig_path IS NOT NULL AND a.orig_path <> a.path",
     }
 
