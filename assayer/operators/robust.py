@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.operators.protocol import BUDGET, POP, rate, threshold_at_fpr, worst_source_cut
+from assayer.operators.protocol import BUDGET, POP, SEED, rate, threshold_at_fpr, worst_source_cut
 from assayer.operators.ranks import auc, kth_values, percentiles
+from assayer.session import let_workers_import
 
 SRC = ["detector_id", "dataset", "source"]
+#: Draws held at once by a worker, and draws that one task makes.
+CHUNK, TASK_DRAWS = 4_000_000, 50_000_000
 
 
 def auc_by_generator(sp: DataFrame, anchor: str) -> DataFrame:
@@ -200,3 +207,70 @@ def bootstrap_ci(sp: DataFrame, replicates: int, budget: float = BUDGET) -> Data
     out = lo_hi("worst").drop("n").join(lo_hi("macro").drop("n"), "detector_id")
     return out.select("detector_id", *[F.round(c, 9).alias(c) for c in ("worst_fp_lo", "worst_fp_hi", "macro_fp_lo", "macro_fp_hi")])
 
+
+def _draws(seed: int, n: int, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """n draws with replacement from 0..n-1, in chunks."""
+    rng = np.random.Generator(np.random.SFC64(seed % 2**64))
+    for at in range(0, n, chunk):
+        yield rng.integers(0, n, min(chunk, n - at), dtype=np.uint32 if n < 2**32 else np.uint64)
+
+
+def _kth_largest(seed: int, n: int, k: int, chunk: int = CHUNK) -> int:
+    """The k-th largest of the n draws; only the k largest so far are kept between chunks."""
+    top = None
+    for x in _draws(seed, n, chunk):
+        top = x if top is None else np.concatenate([top, x[x > top.min()] if len(top) == k else x])
+        if len(top) > k:
+            top = np.partition(top, len(top) - k)[len(top) - k :]
+    return int(top.min())
+
+
+def _count_from(seed: int, n: int, place: int, chunk: int = CHUNK) -> int:
+    """How many of the n draws are at `place` or beyond."""
+    return sum(int(np.count_nonzero(x >= place)) for x in _draws(seed, n, chunk))
+
+
+def _resampled(df: DataFrame, keys: list[str], fn: Callable[[int, int, int], int], tasks: int) -> DataFrame:
+    """(keys, n, got) of rows (keys, seed, n, at): fn(seed, n, at) of each, spread over tasks by row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [fn(*x) for x in zip(b["seed"].tolist(), b["n"].tolist(), b["at"].tolist(), strict=True)]
+            yield b[[*keys, "n"]].assign(got=np.array(got, dtype=np.int64))
+
+    types = dict(df.dtypes)
+    return df.select(*keys, "seed", "n", "at").repartition(tasks, *keys).mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*keys, "n"]) + ", got bigint")
+
+
+def bootstrap_intervals(sp: DataFrame, replicates: int, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """(detector_id, replicates, lo and hi of worst_fp, macro_fp and macro_recall): 95 % intervals over resamples of
+    every population's halves, real and AI, the worst-source cut fitted anew in each.
+
+    Every row of a half is one draw from the half in each replicate, as in the reference. A draw is a place in the
+    half's order by score, so tasks draw knowing only sizes: the cut is the score at the k-th largest place
+    drawn, and a rate is the share of draws beyond the places up to the cut. Draws are seeded by replicate, half and
+    population, so they repeat exactly. A detector without AI pictures has a null recall.
+    """
+    let_workers_import(sp.sparkSession)
+    tasks = int(max(8, -(-sp.count() * replicates // (2 * TASK_DRAWS))))
+    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    seeded = lambda half: F.xxhash64(F.lit(seed), F.lit(half), "rep", *POP).alias("seed")
+    cal = sp.where("half = 'calibration' and label = 0")
+    sizes = cal.groupBy(*POP).agg(F.count("*").alias("n")).select(*POP, "n", rep)
+    places = sizes.select(*SRC, "rep", seeded("calibration"), "n", (F.floor(F.col("n") * F.lit(budget)) + 1).alias("at"))
+    places = _resampled(places, [*SRC, "rep"], _kth_largest, tasks).withColumnRenamed("got", "place")
+    ranked = cal.select(*SRC, "score", (F.row_number().over(W.partitionBy(*SRC).orderBy("score")) - 1).cast("bigint").alias("place"))
+    worst = ranked.join(places.hint("merge"), [*SRC, "place"]).groupBy("detector_id", "rep").agg(F.max("score").alias("cut"))
+    ev = sp.where("half = 'evaluation'")
+    halves = ev.groupBy(*POP).agg(F.count("*").alias("n"))
+    # rows and cuts in one order: before each cut lie the rows that don't exceed it
+    cuts = halves.join(worst, "detector_id").select(*POP, F.col("cut").alias("x"), "rep", "n", F.lit(1).alias("is_cut"))
+    none = F.lit(None)
+    both = ev.select(*POP, F.col("score").alias("x"), none.cast("int").alias("rep"), none.cast("bigint").alias("n"), F.lit(0).alias("is_cut")).unionByName(cuts)
+    upto = F.sum(1 - F.col("is_cut")).over(W.partitionBy(*POP).orderBy("x", "is_cut").rowsBetween(W.unboundedPreceding, W.currentRow))
+    beyond = both.withColumn("at", upto).where("is_cut = 1").select(*POP, "rep", seeded("evaluation"), "n", "at")
+    rates = _resampled(beyond, [*POP, "rep"], _count_from, tasks).withColumn("r", F.col("got") / F.col("n"))
+    of = lambda lab: F.when(F.col("label") == lab, F.col("r"))
+    one = rates.groupBy("detector_id", "rep").agg(F.max(of(0)).alias("worst_fp"), F.avg(of(0)).alias("macro_fp"), F.avg(of(1)).alias("macro_recall"))
+    ends = [F.round(F.percentile(c, F.lit(p)), 9).alias(f"{c}_{e}") for c in ("worst_fp", "macro_fp", "macro_recall") for e, p in (("lo", 0.025), ("hi", 0.975))]
+    return one.groupBy("detector_id").agg(F.count("*").alias("replicates"), *ends)
