@@ -58,6 +58,37 @@ def extended_audit(pool: DataFrame) -> DataFrame:
     return base.join(ps.select("label", *[F.floor(c).cast("bigint").alias(c) for c in ("p10", "median", "p90")]), "label")
 
 
+def whole_audit(pool: DataFrame) -> DataFrame:
+    """extended_audit with (top_sizes, square_pct, mean_bpp, formats): the three most frequent sizes with their counts
+    (equal counts by size), the share of square pictures, mean bytes per pixel, and all formats, `?` where unknown."""
+    rows = pool.where("label is not null and side is not null")
+    more = rows.groupBy("label").agg(
+        F.round(F.avg(F.when(F.col("w") == F.col("h"), 100.0).otherwise(0.0)), 1).alias("square_pct"), F.round(F.avg("ratio"), 3).alias("mean_bpp"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("fmt", F.lit("?")))), ",").alias("formats"),
+    )
+    sizes = rows.where("w is not null and h is not null").groupBy("label", "w", "h").agg(F.count("*").alias("c"))
+    top = sizes.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("c"), "w", "h"))).where("r <= 3")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w", "h", "c"))), lambda s: F.concat(s["w"], F.lit("x"), s["h"], F.lit("("), s["c"], F.lit(")"))), ", ")
+    return extended_audit(pool).join(more, "label").join(top.groupBy("label").agg(text.alias("top_sizes")), "label", "left")
+
+
+def audit_problems(pool: DataFrame) -> DataFrame:
+    """One row: the problems of an audit. With fewer than two classes only single_class can be true; the ranges are
+    those of the two least labels, and they are apart where p10 to p90 don't overlap."""
+    a = whole_audit(pool)
+    ratio = lambda c, least: F.max(c) / F.greatest(F.min(c), F.lit(least))
+    span = F.array_sort(F.collect_list(F.struct("label", "p10", "p90")))
+    one = a.agg(
+        F.count("*").alias("classes"), span.alias("s"), ((F.max(F.instr("formats", ",")) == 0) & (F.count_distinct("formats") > 1)).alias("format_trap"),
+        ((F.max("square_pct") - F.min("square_pct")) > 60).alias("square_gap"), (ratio("median", 1) >= 2.0).alias("side_gap"),
+        (ratio("mean_bpp", 0.001) > 3).alias("bpp_gap"), (ratio("n", 1) > 3).alias("imbalance"),
+    )
+    x, y = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    one = one.withColumn("ranges_apart", (x["p10"] > y["p90"]) | (y["p10"] > x["p90"]))
+    names = ("format_trap", "square_gap", "side_gap", "ranges_apart", "bpp_gap", "imbalance")
+    return one.select("classes", (F.col("classes") < 2).alias("single_class"), *[F.when(F.col("classes") < 2, False).otherwise(F.col(c)).alias(c) for c in names])
+
+
 def shortcut_rules(pool: DataFrame) -> DataFrame:
     """One row: can the class be told from the format, shape, size, compression or count alone?"""
     a = audit(pool)
@@ -81,6 +112,14 @@ def profile(pool: DataFrame) -> DataFrame:
     return ends.join(percentiles(rows, ["label"], "side", {"median": 0.5}).select("label", "median"), "label")
 
 
+def class_gap(pool: DataFrame) -> DataFrame:
+    """(gap, risk): ratio of the median longest sides of the classes 0 and 1, infinite where one is missing or zero;
+    above 2 the size may give the class away."""
+    med = profile(pool.where("label in (0, 1)")).agg(F.count("*").alias("c"), F.max("median").alias("hi"), F.min("median").alias("lo"))
+    gap = F.when((F.col("c") == 2) & (F.col("lo") > 0), F.try_divide("hi", "lo")).otherwise(F.lit(float("inf")))
+    return med.select(F.round(gap, 9).alias("gap"), (gap > 2.0).alias("risk"))
+
+
 CELL = ["side_band", "ratio_band"]
 
 

@@ -33,6 +33,18 @@ def audit_extended(s, d):
     return pool.extended_audit(_ix(s, d))
 
 
+def audit_whole(s, d):
+    return pool.whole_audit(_ix(s, d))
+
+
+def audit_problems(s, d):
+    return pool.audit_problems(_ix(s, d))
+
+
+def class_gap(s, d):
+    return pool.class_gap(_ix(s, d))
+
+
 def shortcut_rules(s, d):
     return pool.shortcut_rules(_ix(s, d))
 
@@ -322,6 +334,10 @@ def oracle_sql() -> dict[str, str]:
     aud = f"""{IX}, f AS (SELECT label, fmt, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, fmt) AS r FROM ix WHERE label IS NOT NULL AND fmt IS NOT NULL GROUP BY label, fmt),
         ft AS (SELECT label, string_agg(fmt, ',' ORDER BY r) AS formats FROM f WHERE r <= 3 GROUP BY 1),
         aud AS (SELECT label, count(*) AS n, round(avg(square) * 100, 6) AS square_pct, round(avg(ratio), 8) AS mean_ratio, quantile_cont(side, 0.5)::DOUBLE AS median_side FROM ix WHERE label IS NOT NULL GROUP BY 1)"""
+    whole = f"""{IX}, r AS (SELECT * FROM ix WHERE label IS NOT NULL AND side IS NOT NULL),
+        tops AS (SELECT label, string_agg(w || 'x' || h || '(' || c || ')', ', ' ORDER BY k) AS top_sizes FROM (SELECT label, w, h, count(*) AS c, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, w, h) AS k FROM r WHERE w IS NOT NULL AND h IS NOT NULL GROUP BY label, w, h) WHERE k <= 3 GROUP BY 1),
+        wh AS (SELECT label, count(*) AS n, count(DISTINCT (w, h)) FILTER (w IS NOT NULL AND h IS NOT NULL) AS distinct_sizes, count(DISTINCT fmt) AS distinct_formats, floor(quantile_cont(side, 0.1))::BIGINT AS p10, floor(quantile_cont(side, 0.5))::BIGINT AS median, floor(quantile_cont(side, 0.9))::BIGINT AS p90,
+          round(avg(CASE WHEN w = h THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 1) AS square_pct, round(avg(ratio), 3) AS mean_bpp, string_agg(DISTINCT coalesce(fmt, '?'), ',' ORDER BY coalesce(fmt, '?')) AS formats FROM r GROUP BY 1)"""
     bal = f"""{IX}, ce AS (SELECT * FROM ix WHERE label IN (0, 1) AND side_band IS NOT NULL AND ratio_band IS NOT NULL),
         bal AS (SELECT side_band, ratio_band, count(*) FILTER (label = 0) AS n_real, count(*) FILTER (label = 1) AS n_ai, least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS take FROM ce GROUP BY 1, 2)"""
     axis = "CASE WHEN {0} <= 128 THEN [0] ELSE list_sort(list_distinct(list_transform(range(0, ceil({0} / 128.0::DOUBLE)::INT), lambda i: round_even(i * (({0} - 128) / greatest(ceil({0} / 128.0::DOUBLE) - 1, 1)::DOUBLE), 0)::INT))) END"
@@ -333,6 +349,13 @@ def oracle_sql() -> dict[str, str]:
         "pool_index": f"WITH {IX} SELECT pool_id, source, print, side, round(greatest(w, h)::DOUBLE / greatest(least(w, h), 1), 9) AS aspect, round(w::DOUBLE * h / 1e6::DOUBLE, 9) AS mpx, side_band, ratio_band, greatest(w, h) > 2048 AS was_capped, {cap.format('w')} AS capped_w, {cap.format('h')} AS capped_h FROM ix",
         "pool_audit": f"WITH {aud} SELECT label, n, square_pct, mean_ratio, median_side, formats FROM aud LEFT JOIN ft USING (label)",
         "audit_extended": f"WITH {IX} SELECT label, count(*) AS n, count(DISTINCT (w, h)) FILTER (w IS NOT NULL AND h IS NOT NULL) AS distinct_sizes, count(DISTINCT fmt) AS distinct_formats, floor(quantile_cont(side, 0.1))::BIGINT AS p10, floor(quantile_cont(side, 0.5))::BIGINT AS median, floor(quantile_cont(side, 0.9))::BIGINT AS p90 FROM ix WHERE label IS NOT NULL AND side IS NOT NULL GROUP BY 1",
+        "audit_whole": f"WITH {whole} SELECT wh.*, top_sizes FROM wh LEFT JOIN tops USING (label)",
+        "audit_problems": f"""WITH {whole}, z AS (SELECT *, row_number() OVER (ORDER BY label) AS k FROM wh), c AS (SELECT count(*) AS classes FROM z)
+            SELECT classes, classes < 2 AS single_class, classes >= 2 AND (SELECT bool_and(NOT contains(formats, ',')) AND count(DISTINCT formats) > 1 FROM z) AS format_trap, classes >= 2 AND (SELECT max(square_pct) - min(square_pct) > 60 FROM z) AS square_gap,
+            classes >= 2 AND (SELECT max(median)::DOUBLE / greatest(min(median), 1) >= 2 FROM z) AS side_gap, classes >= 2 AND (SELECT a.p10 > b.p90 OR b.p10 > a.p90 FROM z a, z b WHERE a.k = 1 AND b.k = 2) AS ranges_apart,
+            classes >= 2 AND (SELECT max(mean_bpp) / greatest(min(mean_bpp), 0.001::DOUBLE) > 3 FROM z) AS bpp_gap, classes >= 2 AND (SELECT max(n)::DOUBLE / min(n) > 3 FROM z) AS imbalance FROM c""",
+        "class_gap": f"""WITH {IX}, m AS (SELECT label, quantile_cont(side, 0.5)::DOUBLE AS m FROM ix WHERE label IN (0, 1) AND side IS NOT NULL GROUP BY 1), g AS (SELECT CASE WHEN count(*) = 2 AND min(m) > 0 THEN max(m) / min(m) ELSE 'infinity'::DOUBLE END AS gap FROM m)
+            SELECT round(gap, 9) AS gap, gap > 2 AS risk FROM g""",
         "shortcut_rules": f"""WITH {aud}, fs AS (SELECT DISTINCT label, fmt FROM ix WHERE label IS NOT NULL AND fmt IS NOT NULL)
             SELECT count(*) AS classes, (SELECT count(*) = count(DISTINCT fmt) FROM fs) AS format_disjoint, max(square_pct) - min(square_pct) > 60 AS square_gap, max(median_side) / nullif(min(median_side), 0) > 2.5 AS side_gap,
             max(mean_ratio) / nullif(min(mean_ratio), 0) > 3 AS ratio_gap, max(n) / nullif(min(n), 0)::DOUBLE > 1.5 AS imbalance FROM aud""",
