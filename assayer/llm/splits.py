@@ -85,7 +85,7 @@ def tie_groups(records: DataFrame, scratch: Scratch, carry: list[Column] | None
     return rows.join(placed, "node").select("score_id", "group_id", "group_size", *extra)
 
 
-def _anneal(ids, start, comp, strat, num, goal, seed, passes=2, chains=2):
+def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
     """Best of a few annealing chains over whole components.
 
     comp, strat, num: the profile in coordinates; goal: strata x splits. Cost is the sum of squared
@@ -111,7 +111,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=2, chains=2):
         tot = dev.sum(0)
         w, t, d, ti = inv.tolist(), tot.tolist(), dev.tolist(), total_inv.tolist()
         cost = float((dev * dev * inv).sum() + (tot * tot * total_inv).sum())
-        least, least_at = cost, list(at)
+        least, since = cost, []  # moves since the best state, to be taken back at the end
 
         def delta(c, to):
             o, z, out = at[c], size[c], 0.0
@@ -128,6 +128,7 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=2, chains=2):
             t[to] += size[c]
             t[o] -= size[c]
             at[c] = to
+            since.append((c, o))
 
         steps = passes * len(ids)
         picks, others, tos, dice = rng.integers(len(ids), size=steps).tolist(), rng.integers(len(ids), size=steps).tolist(), rng.integers(1, max(k, 2), size=steps).tolist(), rng.random(steps).tolist()
@@ -150,10 +151,13 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=2, chains=2):
                     cost += x
                 else:
                     put(c, here)
-            if cost < least - 1e-9 and (i % 64 == 0 or i + 1 == steps):
-                least, least_at = cost, list(at)
+            if cost < least - 1e-9:
+                least = cost
+                since.clear()
+        for c, o in reversed(since):
+            at[c] = o
         if best_cost is None or least < best_cost:
-            best, best_cost = least_at, least
+            best, best_cost = at, least
     return best
 
 
