@@ -7,6 +7,7 @@ from math import exp
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.text import canonical_source
@@ -17,7 +18,7 @@ from assayer.session import Scratch
 HEAVY_SHARE = 0.001
 #: Components that one task anneals.
 BLOCK = 20_000
-#: Distinct strata kept apart; beyond that they are hashed into as many classes, which only coarsens the balance.
+#: Distinct strata whose numbers are sent to every task at once; beyond that they are joined by a shuffle.
 MAX_STRATA = 4_096
 
 
@@ -189,14 +190,12 @@ def assign_splits(records: DataFrame, proportions: dict[str, float] | None = Non
     carry = [canonical_source(F.col("source")).alias("stratum_source"), F.col("label").alias("stratum_label")]
     grouped = scratch.write(tie_groups(records, scratch, carry), "grouped")
     strata = grouped.select("stratum_source", "stratum_label").distinct()
-    if strata.limit(MAX_STRATA + 1).count() <= MAX_STRATA:
-        known = strata.orderBy("stratum_source", "stratum_label").collect()
-        table = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(known)], "ss string, sl int, sid int")
-        prof = grouped.join(F.broadcast(table), F.col("stratum_source").eqNullSafe(F.col("ss")) & F.col("stratum_label").eqNullSafe(F.col("sl")))
-        n_strata = max(len(known), 1)
-    else:
-        prof = grouped.withColumn("sid", F.pmod(F.xxhash64("stratum_source", "stratum_label"), F.lit(MAX_STRATA)).cast("int"))
-        n_strata = MAX_STRATA
+    number = (F.row_number().over(W.orderBy("stratum_source", "stratum_label")) - 1).alias("sid")
+    table = scratch.write(strata.select(F.col("stratum_source").alias("ss"), F.col("stratum_label").alias("sl"), number), "strata")
+    known = table.count()
+    n_strata = max(known, 1)
+    side = F.broadcast(table) if known <= MAX_STRATA else table
+    prof = grouped.join(side, F.col("stratum_source").eqNullSafe(F.col("ss")) & F.col("stratum_label").eqNullSafe(F.col("sl")))
     prof = scratch.write(prof.groupBy("group_id", "group_size", "sid").agg(F.count("*").alias("n")), "profile")
     totals = np.zeros(n_strata)
     for r in prof.groupBy("sid").agg(F.sum("n").alias("n")).collect():

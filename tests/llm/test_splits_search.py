@@ -14,3 +14,11 @@ def test_the_best_state_is_kept(seed, least):
     np.add.at(dev, (strat, np.array(at)), num)
     cost = (dev**2 / np.maximum(goal, 1)).sum() + (dev.sum(0) ** 2 * 3 / goal.sum(0)).sum()
     assert cost < least  # looking at every 64th step only: 14.3, 7.3 and 5.6
+
+
+def test_many_strata_are_balanced_apart(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/image_scores.parquet")
+    rows = lambda: sorted(tuple(r) for r in splits.assign_splits(df).collect())
+    few = rows()
+    monkeypatch.setattr(splits, "MAX_STRATA", 1)
+    assert rows() == few
