@@ -117,8 +117,9 @@ def features_column(tile: Column, side: int = 128) -> Column:
     def run(tiles: pd.Series) -> pd.Series:
         at = [i for i, b in enumerate(tiles) if b is not None and len(b) == side * side * 3]
         out: list = [None] * len(tiles)
-        for s in range(0, len(at), 256):  # bounds what is held as floats
-            part = at[s : s + 256]
+        step = max(1, 2**19 // side**2)
+        for s in range(0, len(at), step):  # bounds what is held as floats
+            part = at[s : s + step]
             raw = np.stack([np.frombuffer(tiles.iloc[i], dtype=np.uint8).reshape(side, side, 3) for i in part])
             for i, f in zip(part, tile_features(raw / np.float32(255)), strict=True):
                 out[i] = f

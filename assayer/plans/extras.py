@@ -17,11 +17,18 @@ def cluster_report(s, d):
     return models.cluster_report(load(s, d, "embeddings"))
 
 
+def text_tiles(text, side: int = 128):
+    """Raw RGB of a side x side tile from a text: SHA-256 digests of its digest and a counter, so nothing repeats."""
+    blocks = -(-side * side * 3 // 32)
+    key = F.sha2(text, 256)
+    digests = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.sha2(F.concat(key, F.lit(":"), i.cast("string")), 256))
+    return F.unhex(F.substring(F.array_join(digests, ""), 1, side * side * 6))
+
+
 def tile_features(s, d):
-    """The 68 values of a tile made from each document's bytes: 16 x 16 pixels of repeated SHA-256 digests."""
+    """The 68 values of a 128 x 128 tile for each document, its pixels drawn from digests of the text."""
     docs = load(s, d, "documents").where("text is not null")
-    tile = F.unhex(F.repeat(F.sha2("text", 256), 24))
-    return docs.select("doc_id", kernels.features_column(tile, 16).alias("features"))
+    return docs.select("doc_id", kernels.features_column(text_tiles(F.col("text"))).alias("features"))
 
 
 def queries() -> dict:
