@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from assayer.session import Scratch
 SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # The tokenizer's word pattern.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: A word is hot if it is at least this share of all words; so there are at most 1/HOT_SHARE hot words.
-HOT_SHARE = 0.0005
+#: A word is hot if it is at least this share of all words and not longer; so there are at most 1/HOT_SHARE hot words.
+HOT_SHARE, HOT_CHARS = 0.00002, 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,35 +54,94 @@ def encode_texts(df: DataFrame, text: str, path: str, out: str = "ids") -> DataF
     return df.mapInArrow(run, schema)
 
 
+def _lookup(docs: DataFrame, hot: bytes) -> DataFrame:
+    """(doc_id, at, ids, w) of (doc_id, words): one row with w null for a document whose words are all in the table;
+    else its runs of known words, in order, and a row with the word itself for each of the others."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = globals().setdefault("_HOT", {})
+        if table.get("of") is not held:
+            t = pa.ipc.open_stream(held.value).read_all().combine_chunks()
+            table.update(of=held, words=_one(t.column("w")), ids=_one(t.column("ids")))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, doc = b.column("words"), b.column("doc_id")
+            flat = lists.flatten()
+            code = pc.index_in(flat, value_set=table["words"])
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(n)), n)
+            rare = code.is_null().to_numpy(zero_copy_only=False)
+            ids = table["ids"].take(code)
+            # a piece ends with its document and on both sides of a rare word
+            first = np.ones(len(flat), dtype=bool)
+            first[1:] = (owner[1:] != owner[:-1]) | rare[1:] | rare[:-1]
+            start = np.flatnonzero(first)
+            width = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(width)))
+            offsets = ends[np.concatenate((start, [len(flat)]))].astype(np.int32)
+            at = start - np.concatenate(([0], np.cumsum(n)))[owner[start]]
+            word = pc.if_else(pa.array(rare[start]), flat.take(pa.array(start)), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [doc.take(pa.array(owner[start])), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), ids.flatten()), word, pa.array((n[owner[start]]).astype(np.int32)), pa.array(np.diff(np.concatenate((start, [len(flat)]))).astype(np.int32))],
+                names=["doc_id", "at", "ids", "w", "n", "width"],
+            )
+
+    held = docs.sparkSession.sparkContext.broadcast(hot)
+    return docs.mapInArrow(run, "doc_id bigint, at int, ids array<int>, w string, n int, width int")
+
+
+def _one(column):
+    """A column as one array."""
+    import pyarrow as pa
+
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def token_ids(docs: DataFrame, scratch: Scratch, path: str | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids), one row for each document; null and empty texts have an empty list.
 
     Words are split in the JVM by the tokenizer's own pattern, each distinct word is encoded once, and the ids
-    join back by word and are put together by position. The few words that make up much of any corpus are
-    looked up in a broadcast table, whose size is bounded by 1/HOT_SHARE, so that no task gets all of a hot
-    word; the others join by word. Texts with characters that the JVM's Unicode tables don't know yet are
-    encoded whole, as the pattern could split them elsewhere. Whole texts are used, however long; a document's own
-    list of words is the largest thing a task holds. doc_id must be unique.
+    join back by word and are put together by position. The words that make up most of any corpus, of which
+    there are at most 1/HOT_SHARE, each of at most HOT_CHARS characters, are a broadcast table that the scanning tasks
+    look up; only the other words, and the runs of ids between them, leave their task, and join by word and then
+    by document. Texts with characters that the JVM's Unicode tables don't know yet are encoded whole, as the
+    pattern could split them elsewhere. Whole texts are used, however long; a document's own ids are the largest
+    thing a task holds. doc_id must be unique.
     """
     path = path or tokenizer_path()
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     known = ~F.col("text").rlike(r"\p{Cn}")
-    plain = rows.where((F.col("text") != "") & known)
-    words = plain.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "w"))
-    table = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    table = scratch.write(encode_texts(table, "w", path), "word-ids")
-    hot = F.broadcast(table.where(F.col("n") >= max(1.0, HOT_SHARE * total)).select("w", "ids"))
-    rare = table.where(F.col("n") < max(1.0, HOT_SHARE * total)).select("w", "ids")
-    found = words.join(hot, "w").select("doc_id", "pos", "ids").union(
-        words.join(hot.select("w"), "w", "left_anti").join(rare, "w").select("doc_id", "pos", "ids")
-    )
-    joined = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select(
+    plain = rows.where((F.col("text") != "") & known).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    counted = scratch.write(plain.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    table = scratch.write(encode_texts(counted, "w", path), "word-ids")
+    is_hot = (F.col("n") >= max(1.0, HOT_SHARE * total)) & (F.length("w") <= HOT_CHARS)
+    found = scratch.write(_lookup(plain, _stream(table.where(is_hot).select("w", "ids"))), "found")
+    whole = found.where("w is null and width = n").select("doc_id", "ids")
+    parts = found.where("w is not null or width < n")
+    rare = parts.where("w is not null").select("doc_id", "at", "w").join(table.where(~is_hot).select("w", "ids"), "w").select("doc_id", "at", "ids")
+    parts = rare.union(parts.where("w is null").select("doc_id", "at", "ids"))
+    joined = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")).select(
         "doc_id", F.flatten(F.col("parts.ids")).alias("ids")
     )
     odd = encode_texts(rows.where((F.col("text") != "") & ~known), "text", path).select("doc_id", "ids")
     none = rows.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return joined.union(odd).union(none)
+    return whole.union(joined).union(odd).union(none)
+
+
+def _stream(table: DataFrame) -> bytes:
+    """A small table as an Arrow stream."""
+    import pyarrow as pa
+
+    t = table.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
 
 
 def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
