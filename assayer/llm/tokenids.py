@@ -15,7 +15,7 @@ SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 # The tokenizer's word pattern.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: A word is hot if it is at least this share of all words and not longer; so there are at most 1/HOT_SHARE hot words.
-HOT_SHARE, HOT_CHARS = 0.00002, 64
+HOT_SHARE, HOT_CHARS = 0.000005, 32
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -116,7 +116,8 @@ def token_ids(docs: DataFrame, scratch: Scratch, path: str | None = None, doc: s
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     known = ~F.col("text").rlike(r"\p{Cn}")
     plain = rows.where((F.col("text") != "") & known).select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    counted = scratch.write(plain.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    # an inner explode would make Spark split every text twice, to filter out empty lists, which there are none of
+    counted = scratch.write(plain.select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     table = scratch.write(encode_texts(counted, "w", path), "word-ids")
     is_hot = (F.col("n") >= max(1.0, HOT_SHARE * total)) & (F.length("w") <= HOT_CHARS)
