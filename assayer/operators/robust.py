@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.operators.protocol import BUDGET, POP, SEED, rate, threshold_at_fpr, worst_source_cut
-from assayer.operators.ranks import auc, kth_values, percentiles
-from assayer.session import let_workers_import
+from assayer.operators.protocol import BUDGET, POP, SEED, rate, stable_halves, threshold_at_fpr, worst_source_cut
+from assayer.operators.ranks import auc, kth_values, kth_without, percentiles, positions, running
+from assayer.session import Scratch, let_workers_import
 
 SRC = ["detector_id", "dataset", "source"]
 #: Draws held at once by a worker, and draws that one task makes.
@@ -20,13 +21,23 @@ CHUNK, TASK_DRAWS = 4_000_000, 50_000_000
 
 
 def auc_by_generator(sp: DataFrame, anchor: str) -> DataFrame:
-    """AUC of each generator's evaluation half against the anchor's real evaluation half."""
+    """AUC of each generator's evaluation half against the anchor's real evaluation half.
+
+    The anchor's scores are counted once for each detector, in one line with those of all generators; no copy of them
+    is made for a generator.
+    """
     ev = sp.where("half = 'evaluation'")
-    ai = ev.where("label = 1").select("detector_id", "source", "score", F.lit(1).alias("pos"))
-    generators = ai.select("detector_id", "source").distinct()
-    real = ev.where((F.col("label") == 0) & (F.col("source") == anchor)).select("detector_id", "score", F.lit(0).alias("pos"))
-    both = ai.unionByName(real.join(generators, "detector_id"))
-    return auc(both, ["detector_id", "source"], "score", "pos").select("detector_id", "source", "n_neg", "n_pos", F.round("auc", 9).alias("auc"))
+    is_real = (F.col("label") == 0) & (F.col("source") == anchor)
+    seen = ev.where(is_real | (F.col("label") == 1))
+    line = seen.groupBy("detector_id", "score").agg(F.count(F.when(is_real, 1)).alias("q"))
+    line = running(line, ["detector_id"], "score", ["q"])
+    ai = ev.where("label = 1").groupBy("detector_id", "source", "score").agg(F.count("*").alias("p"))
+    u = ai.join(line, ["detector_id", "score"]).groupBy("detector_id", "source").agg(
+        F.sum("p").alias("n_pos"), F.sum(F.col("p") * (F.col("before_q") + F.col("q") / F.lit(2.0))).alias("u")
+    )
+    real = line.groupBy("detector_id").agg(F.sum("q").alias("n_neg"))
+    area = F.when(F.col("n_neg") > 0, F.round(F.col("u") / (F.col("n_pos") * F.col("n_neg")), 9))
+    return u.join(real, "detector_id").select("detector_id", "source", "n_neg", "n_pos", area.alias("auc"))
 
 
 def operating_point(sp: DataFrame, anchor: str, budget: float = BUDGET) -> DataFrame:
@@ -64,7 +75,7 @@ def loso(sp: DataFrame, rule: str, anchor: str, budget: float = BUDGET) -> DataF
     """(detector_id, dataset, source, cut, n, fp): each real source judged by a cut fitted without it.
 
     worst_source takes the largest cut of the others, which the two largest cuts give in one pass; pooled fits
-    all other sources together, and a held-out source pairs with the rows of the others; anchor_only fits the
+    all other sources together, by taking the held-out source's counts from those of all; anchor_only fits the
     anchor alone, which is then not held out.
     """
     cal, ev = sp.where("half = 'calibration' and label = 0"), sp.where("half = 'evaluation' and label = 0")
@@ -73,12 +84,8 @@ def loso(sp: DataFrame, rule: str, anchor: str, budget: float = BUDGET) -> DataF
         top = cuts.groupBy("detector_id").agg(F.slice(F.sort_array(F.collect_list("cut"), asc=False), 1, 2).alias("top"))
         held = cuts.join(top, "detector_id").select(*SRC, F.when(F.col("cut") == F.get("top", F.lit(0)), F.get("top", F.lit(1))).otherwise(F.get("top", F.lit(0))).alias("cut"))
     elif rule == "pooled":
-        names = cal.select(*SRC).distinct()
-        others = names.select("detector_id", F.col("dataset").alias("hd"), F.col("source").alias("hs"))
-        fold = cal.select(*SRC, "score").join(others, "detector_id").where("not (dataset = hd and source = hs)")
-        held = threshold_at_fpr(fold.select("detector_id", "hd", "hs", "score"), ["detector_id", "hd", "hs"], budget).select(
-            "detector_id", F.col("hd").alias("dataset"), F.col("hs").alias("source"), "cut"
-        )
+        held = kth_without(cal, ["detector_id"], ["dataset", "source"], "score", lambda n: n - F.floor(n * F.lit(budget)))
+        held = held.select(*SRC, F.col("y").alias("cut"))
     elif rule == "anchor_only":
         one = threshold_at_fpr(cal.where(F.col("source") == anchor), ["detector_id"], budget).select("detector_id", "cut")
         held = cal.select(*SRC).distinct().where(F.col("source") != anchor).join(one, "detector_id")
@@ -96,11 +103,16 @@ def miss_cuts(sp: DataFrame, misses: list[float]) -> DataFrame:
     return each.select("detector_id", F.col("w.miss").alias("miss"), F.col("y").alias("t_real"))
 
 
-def verdict_mix(sp: DataFrame, misses: list[float], budget: float = BUDGET) -> DataFrame:
+def verdict_mix(sp: DataFrame, misses: list[float | None], budget: float = BUDGET) -> DataFrame:
     """(detector_id, miss, dataset, source, label, n, ai, abstain, real): shares of the three verdicts on the
-    evaluation halves, between the worst-source cut and each miss budget's cut (never above it)."""
+    evaluation halves, between the worst-source cut and each miss budget's cut (never above it). Under the miss
+    budget None nothing is called real."""
     worst = worst_source_cut(sp.where("half = 'calibration' and label = 0"), budget)
-    cuts = miss_cuts(sp, misses).join(worst, "detector_id").select("detector_id", "miss", "cut", F.least("t_real", "cut").alias("t_real"))
+    cuts = miss_cuts(sp, [m for m in misses if m is not None]).join(worst, "detector_id")
+    cuts = cuts.select("detector_id", "miss", "cut", F.least("t_real", "cut").alias("t_real"))
+    if None in misses:
+        none = F.lit(None).cast("double")
+        cuts = cuts.unionByName(worst.select("detector_id", none.alias("miss"), "cut", F.lit(float("-inf")).alias("t_real")))
     ev = sp.where("half = 'evaluation'").join(cuts, "detector_id")
     s, hi, lo = F.col("score"), F.col("cut"), F.col("t_real")
     return ev.groupBy("detector_id", "miss", "dataset", "source", "label").agg(
@@ -108,7 +120,7 @@ def verdict_mix(sp: DataFrame, misses: list[float], budget: float = BUDGET) -> D
     )
 
 
-def miss_budget_frontier(sp: DataFrame, misses: list[float], budget: float = BUDGET) -> DataFrame:
+def miss_budget_frontier(sp: DataFrame, misses: list[float | None], budget: float = BUDGET) -> DataFrame:
     """(detector_id, miss, worst_fp, macro_recall, macro_abstain, macro_wrongly_real) over all populations."""
     mix = verdict_mix(sp, misses, budget)
     over = lambda c, lab: F.avg(F.when(F.col("label") == lab, F.col(c)))
@@ -144,20 +156,40 @@ def union_gate(sp: DataFrame, base: list[str], extra: str, budget: float = BUDGE
     return out.select("k", F.round("threshold", 9).alias("threshold"), F.round("w", 9).alias("worst_fp"), F.round("bw", 9).alias("baseline_worst"), (F.col("w") <= F.greatest(F.lit(budget), F.col("bw")) + 1e-12).alias("passes"))
 
 
-def frozen_vs_refit(sp: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(detector_id, dataset, source, n, clean_fp, frozen_fp, refit_fp): false positives on degraded copies of real
-    pictures, under the cut of the clean ones and under one fitted with the degraded ones as well."""
+def with_copies(pop: DataFrame) -> DataFrame:
+    """Records that are no degraded copies, with copy_score: the score of the copy that names them, the latest by
+    scored_at, then the larger score_id; null where there is none."""
     clean = F.coalesce(F.lower(F.trim("variant")), F.lit("none")).isin("none", "")
-    real = sp.where("label = 0").withColumn("clean", clean)
-    cal = real.where("half = 'calibration'")
-    frozen = worst_source_cut(cal.where("clean"), budget).withColumnRenamed("cut", "frozen")
-    mixed = cal.withColumn("source", F.concat("source", F.when(F.col("clean"), "").otherwise("+degraded")))
-    refit = worst_source_cut(mixed, budget).withColumnRenamed("cut", "refit")
-    ev = real.where("half = 'evaluation'").join(frozen, "detector_id").join(refit, "detector_id")
-    part = lambda c, t: F.round(F.avg(F.when(c, (F.col("score") > F.col(t)).cast("double"))), 9)
-    return ev.groupBy(*SRC).agg(
-        F.count("*").alias("n"), part(F.col("clean"), "frozen").alias("clean_fp"), part(~F.col("clean"), "frozen").alias("frozen_fp"), part(~F.col("clean"), "refit").alias("refit_fp")
+    copies = pop.where(~clean & F.col("orig_path").isNotNull()).groupBy("detector_id", F.col("orig_path").alias("path")).agg(
+        F.max_by("score", F.struct("scored_at", "score_id")).alias("copy_score")
+    )
+    return pop.where(clean).join(copies, ["detector_id", "path"], "left")
+
+
+def frozen_vs_refit(pop: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """(detector_id, setting, cut, macro_fp, worst_fp, worst_source, macro_recall, auc): what degrading the pictures does.
+
+    A degraded score stands in for its original's and so keeps the original's half. clean: original scores under the cut of
+    the originals; frozen: degraded scores under the same cut; refit: degraded scores under the worst-source cut
+    of the degraded calibration scores alone. Rates are of the evaluation halves, the AUC of all records of a setting. Settings without
+    any score have no row.
+    """
+    scratch = Scratch(pop.sparkSession, "copies")
+    sp = scratch.write(stable_halves(scratch.write(with_copies(pop), "records")), "halves")
+    cal = sp.where("half = 'calibration' and label = 0")
+    fitted = worst_source_cut(cal, budget).withColumnRenamed("cut", "first")
+    again = worst_source_cut(cal.where("copy_score is not null").withColumn("score", F.col("copy_score")), budget).withColumnRenamed("cut", "second")
+    cuts = scratch.write(fitted.join(again, "detector_id", "full"), "cuts")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.col(x).alias("x"), F.col(t).alias("cut")) for n, x, t in (("clean", "score", "first"), ("frozen", "copy_score", "first"), ("refit", "copy_score", "second"))])).alias("e")
+    seen = sp.join(cuts, "detector_id").select(*POP, "half", each).select(*POP, "half", "e.*").where("x is not null and cut is not null")
+    per = seen.where("half = 'evaluation'").groupBy(*POP, "setting", "cut").agg(rate(F.col("x") > F.col("cut")).alias("r"))
+    of = lambda lab, c: F.when(F.col("label") == lab, c)
+    out = per.groupBy("detector_id", "setting", "cut").agg(
+        F.round(F.avg(of(0, F.col("r"))), 9).alias("macro_fp"), F.round(F.max(of(0, F.col("r"))), 9).alias("worst_fp"),
+        F.max_by("source", of(0, F.struct("r", "source"))).alias("worst_source"), F.round(F.avg(of(1, F.col("r"))), 9).alias("macro_recall"),
     )
+    area = auc(seen, ["detector_id", "setting"], "x", "label").select("detector_id", "setting", F.round("auc", 9).alias("auc"))
+    return out.join(area, ["detector_id", "setting"], "left")
 
 
 def source_diagnostic(pop: DataFrame) -> DataFrame:
@@ -170,13 +202,26 @@ def source_diagnostic(pop: DataFrame) -> DataFrame:
     return out
 
 
-def subgroup_profile(sp: DataFrame, miss: float) -> DataFrame:
-    """AI pictures of the evaluation halves that would be called real against the others: counts and mean sizes."""
+def subgroup_profile(sp: DataFrame, generator: str, anchor: str, miss: float) -> DataFrame:
+    """(detector_id, part, source, n, median_side, median_bpp, median_score): who is wrongly called real?
+
+    Parts wrongly_real and not_real: one generator's evaluation pictures at or below and above the miss cut; parts
+    generator and anchor, with the score alone: every generator's and the anchor's evaluation half.
+    """
     lo = miss_cuts(sp, [miss]).select("detector_id", "t_real")
-    ev = sp.where("half = 'evaluation' and label = 1").join(lo, "detector_id")
-    return ev.groupBy("detector_id", (F.col("score") <= F.col("t_real")).alias("wrongly_real")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("width").cast("double") * F.col("height")), 3).alias("mean_pixels"), F.round(F.avg(F.greatest("width", "height")), 6).alias("mean_longest")
-    )
+    ev = sp.where("half = 'evaluation'")
+    one = ev.where((F.col("label") == 1) & (F.col("source") == generator)).join(lo, "detector_id")
+    one = one.withColumn("part", F.when(F.col("score") <= F.col("t_real"), "wrongly_real").otherwise("not_real"))
+    one = one.withColumn("side", F.greatest("width", "height"))
+    every = ev.where((F.col("label") == 1) | (F.col("source") == anchor)).withColumn("part", F.when(F.col("label") == 1, "generator").otherwise("anchor"))
+    keys, none = ["detector_id", "part", "source"], F.lit(None).cast("double")
+    cols = ["part", "detector_id", "source", "score", "side", "bytes_per_pixel"]
+    rows = one.select(*cols).unionByName(every.select("part", "detector_id", "source", "score", F.lit(None).cast("int").alias("side"), none.alias("bytes_per_pixel")))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    for col, name in (("side", "median_side"), ("bytes_per_pixel", "median_bpp"), ("score", "median_score")):
+        ok = rows.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+        out = out.join(percentiles(ok, keys, col, {name: 0.5}).select(*keys, F.round(name, 9).alias(name)), keys, "left")
+    return out
 
 
 def bootstrap_ci(sp: DataFrame, replicates: int, budget: float = BUDGET) -> DataFrame:
@@ -186,9 +231,8 @@ def bootstrap_ci(sp: DataFrame, replicates: int, budget: float = BUDGET) -> Data
     The draw of row i in replicate r is a hash of (r, half, population, i), so it needs no state and repeats
     exactly; rows are weighted by how often they are drawn, not copied.
     """
-    real = sp.where("label = 0")
-    w = W.partitionBy("detector_id", "dataset", "source", "half")
-    idx = real.select(*SRC, "half", "score", (F.row_number().over(w.orderBy("path")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    real = sp.where("label = 0").select(*SRC, "half", "score", "path")
+    idx = positions(real, [*SRC, "half"], ["path"], Scratch(sp.sparkSession, "bootstrap"), "i").withColumnRenamed("i_n", "n").drop("path")
     slots = idx.select(*SRC, "half", "n", "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     text = F.concat_ws(":", "rep", "half", "dataset", "source", "i")
     slots = slots.withColumn("j", F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint"), F.col("n")))
@@ -259,16 +303,24 @@ def bootstrap_intervals(sp: DataFrame, replicates: int, budget: float = BUDGET,
     sizes = cal.groupBy(*POP).agg(F.count("*").alias("n")).select(*POP, "n", rep)
     places = sizes.select(*SRC, "rep", seeded("calibration"), "n", (F.floor(F.col("n") * F.lit(budget)) + 1).alias("at"))
     places = _resampled(places, [*SRC, "rep"], _kth_largest, tasks).withColumnRenamed("got", "place")
-    ranked = cal.select(*SRC, "score", (F.row_number().over(W.partitionBy(*SRC).orderBy("score")) - 1).cast("bigint").alias("place"))
+    ranked = positions(cal.select(*SRC, "score"), SRC, ["score"], Scratch(sp.sparkSession, "bootstrap"))
     worst = ranked.join(places.hint("merge"), [*SRC, "place"]).groupBy("detector_id", "rep").agg(F.max("score").alias("cut"))
     ev = sp.where("half = 'evaluation'")
+    # how many of a detector's cuts lie below each row: counted, not sorted, rows meet at most `replicates` cuts
+    line = worst.groupBy("detector_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    step = isqrt(replicates) + 1
+    ends = F.transform(F.sequence(F.lit(0), F.ceil(F.size("cuts") / step).cast("int") - 1), lambda i: F.get("cuts", (i + 1) * step - 1))
+    less = lambda c: c < F.col("score")
+    first = F.size(F.filter(ends, less)) * step
+    slot = first + F.when(first >= F.size("cuts"), 0).otherwise(F.size(F.filter(F.slice("cuts", first + 1, F.lit(step)), less)))
+    bins = ev.join(line, "detector_id").groupBy(*POP, slot.alias("slot")).agg(F.count("*").alias("c"))
     halves = ev.groupBy(*POP).agg(F.count("*").alias("n"))
-    # rows and cuts in one order: before each cut lie the rows that don't exceed it
-    cuts = halves.join(worst, "detector_id").select(*POP, F.col("cut").alias("x"), "rep", "n", F.lit(1).alias("is_cut"))
-    none = F.lit(None)
-    both = ev.select(*POP, F.col("score").alias("x"), none.cast("int").alias("rep"), none.cast("bigint").alias("n"), F.lit(0).alias("is_cut")).unionByName(cuts)
-    upto = F.sum(1 - F.col("is_cut")).over(W.partitionBy(*POP).orderBy("x", "is_cut").rowsBetween(W.unboundedPreceding, W.currentRow))
-    beyond = both.withColumn("at", upto).where("is_cut = 1").select(*POP, "rep", seeded("evaluation"), "n", "at")
+    known = worst.join(line, "detector_id").select("detector_id", "rep", (F.array_position("cuts", F.col("cut")) - 1).cast("int").alias("at_cut"))
+    # rows in slots up to the cut's own don't exceed it
+    grid = halves.join(known.select("detector_id", F.col("at_cut").alias("slot")).distinct(), "detector_id").select(*POP, "slot", F.lit(0).cast("bigint").alias("c"), F.lit(1).alias("asked"))
+    upto = F.sum("c").over(W.partitionBy(*POP).orderBy("slot").rangeBetween(W.unboundedPreceding, W.currentRow))
+    sums = bins.select(*POP, "slot", "c", F.lit(0).alias("asked")).unionByName(grid).withColumn("at", upto).where("asked = 1")
+    beyond = sums.select(*POP, F.col("slot").alias("at_cut"), "at").join(known, ["detector_id", "at_cut"]).join(halves, POP).select(*POP, "rep", seeded("evaluation"), "n", "at")
     rates = _resampled(beyond, [*POP, "rep"], _count_from, tasks).withColumn("r", F.col("got") / F.col("n"))
     of = lambda lab: F.when(F.col("label") == lab, F.col("r"))
     one = rates.groupBy("detector_id", "rep").agg(F.max(of(0)).alias("worst_fp"), F.avg(of(0)).alias("macro_fp"), F.avg(of(1)).alias("macro_recall"))

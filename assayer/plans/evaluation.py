@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators import protocol, ranks, robust
-from assayer.session import Scratch, load
+from assayer.session import Scratch, load, shared
 
 ANCHOR = "benchyard_real"
-MISSES = [0.1, 0.05, 0.02]
+#: The generator that subgroup_profile looks into.
+GENERATOR = "lumen_xl"
+MISSES = [0.1, 0.05, 0.02, None]
 #: Replicates of bootstrap_ci, whose SQL draws as many, and of bootstrap_intervals, as many as the reference draws.
 REPLICATES, ALL_REPLICATES = 200, 2000
 EXTRA = "tramline_cam"
 SEEDS = (42, 1337, 2024)
-COLUMNS = ["score_id", "detector_id", "dataset", "source", "label", "path", "orig_path", "variant", "width", "height", "bytes_per_pixel", "score"]
+COLUMNS = ["score_id", "detector_id", "dataset", "source", "label", "path", "orig_path", "variant", "width", "height", "bytes_per_pixel", "score", "scored_at"]
 
 
 def _pop(s: SparkSession, d: str) -> DataFrame:
-    """Written once: every study reads the populations several times."""
-    return Scratch(s, "eval").write(protocol.populations(load(s, d, "image_scores")).select(*COLUMNS), "populations")
+    """Written once in a session: every study reads the populations several times."""
+    return shared(s, d, "image_scores", "populations", lambda t: protocol.populations(t).select(*COLUMNS))
 
 
 def _sp(s: SparkSession, d: str) -> DataFrame:
-    return Scratch(s, "eval").write(protocol.stable_halves(_pop(s, d)), "halves")
+    return shared(s, d, "image_scores", "halves", lambda t: protocol.stable_halves(_pop(s, d)))
 
 
 def _cal(s: SparkSession, d: str) -> DataFrame:
@@ -88,7 +90,7 @@ def union_gate(s, d):
 
 
 def frozen_vs_refit(s, d):
-    return robust.frozen_vs_refit(_sp(s, d))
+    return robust.frozen_vs_refit(_pop(s, d))
 
 
 def source_diagnostic(s, d):
@@ -96,7 +98,7 @@ def source_diagnostic(s, d):
 
 
 def subgroup_profile(s, d):
-    return robust.subgroup_profile(_sp(s, d), 0.05)
+    return robust.subgroup_profile(_sp(s, d), GENERATOR, ANCHOR, 0.05)
 
 
 def bootstrap_ci(s, d):
@@ -108,15 +110,12 @@ def bootstrap_intervals(s, d):
 
 
 def roc_curve(s, d):
-    """Points of each detector's ROC curve on scores rounded to two digits."""
-    pop = _pop(s, d).withColumn("t", F.floor(F.col("score") * 100).cast("bigint"))
-    g = pop.groupBy("detector_id", "t").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    from pyspark.sql import Window as W
-
-    down = W.partitionBy("detector_id").orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("detector_id")
-    tpr, fpr = F.sum("p").over(down) / F.sum("p").over(whole), F.sum("q").over(down) / F.sum("q").over(whole)
-    return g.select("detector_id", "t", F.round(tpr, 9).alias("tpr"), F.round(fpr, 9).alias("fpr"))
+    """Points of each detector's ROC curve, one for each distinct score: rates at or above it."""
+    g = _pop(s, d).groupBy("detector_id", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    whole = g.groupBy("detector_id").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    line = ranks.running(g, ["detector_id"], "score", ["p", "q"]).join(whole, "detector_id")
+    tpr, fpr = ((F.col(n) - F.col(f"before_{c}")) / F.when(F.col(n) > 0, F.col(n)) for c, n in (("p", "np"), ("q", "nq")))
+    return line.select("detector_id", "score", F.round(tpr, 9).alias("tpr"), F.round(fpr, 9).alias("fpr"))
 
 
 def score_histogram(s, d):
@@ -147,9 +146,13 @@ def classification_report(s, d):
 
 
 def fp_profile(s, d):
-    """Share of each real source above fixed scores, by detector."""
+    """Median and 95th percentile of each real source's scores and its share above fixed scores, by detector, with a
+    row ALL over all sources."""
     pop = _pop(s, d).where("label = 0")
-    return pop.groupBy(*robust.SRC).agg(F.count("*").alias("n"), *[F.round(protocol.rate(F.col("score") >= t), 9).alias(f"at_{int(t * 100)}") for t in (0.5, 0.9, 0.99)])
+    rows = pop.select("detector_id", "score", F.explode(F.array(F.struct("dataset", "source"), F.struct(F.lit("ALL").alias("dataset"), F.lit("ALL").alias("source")))).alias("k")).select("detector_id", "k.*", "score")
+    out = rows.groupBy(*robust.SRC).agg(F.count("*").alias("n"), *[F.round(protocol.rate(F.col("score") >= t), 9).alias(f"at_{int(t * 100)}") for t in (0.5, 0.9, 0.99)])
+    ps = ranks.percentiles(rows, robust.SRC, "score", {"median": 0.5, "p95": 0.95})
+    return out.join(ps.select(*robust.SRC, F.round("median", 9).alias("median"), F.round("p95", 9).alias("p95")), robust.SRC)
 
 
 def multi_arm_alignment(s, d):
@@ -167,13 +170,19 @@ def degraded_pairs(s, d):
 
 
 def input_policy(s, d):
-    """Copies against the originals they name, by detector and variant: how far scores move, how often upwards."""
+    """Copies against the originals they name, by detector, variant and label: medians before and after, how far and
+    how often scores move up, and the shares above the detector's worst-source cut before and after."""
     pop = _pop(s, d)
-    copy = pop.where("orig_path is not null and orig_path <> path and variant is not null").select("detector_id", "variant", F.col("orig_path").alias("path"), F.col("score").alias("after"))
+    copy = pop.where("orig_path is not null and orig_path <> path and variant is not null").select("detector_id", "label", "variant", F.col("orig_path").alias("path"), F.col("score").alias("after"))
     j = copy.join(pop.select("detector_id", "path", F.col("score").alias("before")), ["detector_id", "path"])
     j = j.withColumn("variant", F.lower(F.trim("variant"))).withColumn("move", F.col("after") - F.col("before"))
-    med = ranks.percentiles(j, ["detector_id", "variant"], "move", {"median_move": 0.5}).select("detector_id", "variant", F.round("median_move", 9).alias("median_move"))
-    return j.groupBy("detector_id", "variant").agg(F.count("*").alias("n"), F.round(protocol.rate(F.col("move") > 0), 9).alias("raised")).join(med, ["detector_id", "variant"])
+    j = j.join(protocol.worst_source_cut(_cal(s, d)), "detector_id")
+    keys = ["detector_id", "variant", "label"]
+    over = lambda c: F.round(protocol.rate(F.col(c) > F.col("cut")), 9)
+    out = j.groupBy(*keys).agg(F.count("*").alias("n"), F.round(protocol.rate(F.col("move") > 0), 9).alias("raised"), over("before").alias("flagged_before"), over("after").alias("flagged_after"))
+    for c in ("before", "after", "move"):
+        out = out.join(ranks.percentiles(j, keys, c, {"m": 0.5}).select(*keys, F.round("m", 9).alias(f"median_{c}")), keys)
+    return out
 
 
 def library_promise(s, d):
@@ -200,8 +209,11 @@ def seed_spread(s, d):
 
 
 def stored_bytes(s, d):
-    """Texts and their bytes by source, the largest first in rank."""
-    return load(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    """Texts and their bytes by source, with the place by bytes, the largest first; equal ones by name, no source last."""
+    g = load(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    return ranks.positions(g.withColumns({"less": -F.coalesce("bytes", F.lit(0)), "none": F.col("source").isNull()}), [], ["less", "none", "source"], Scratch(s, "stored"), "r").select(
+        "source", "n", "bytes", (F.col("r") + 1).alias("rank")
+    )
 
 
 REC = r"""rec AS (
@@ -230,7 +242,7 @@ RATE = "round(avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9)"
 MISS = """miss AS (SELECT detector_id, miss, score AS t_real FROM (SELECT detector_id, score, row_number() OVER (PARTITION BY detector_id ORDER BY score) AS r, count(*) OVER (PARTITION BY detector_id) AS n FROM sp WHERE half = 'calibration' AND label = 1),
   (SELECT unnest([{}])::DOUBLE AS miss) WHERE r = floor(n * miss) + 1)"""
 MIX = SP + ", " + WORST + ", " + MISS + """,
-cuts AS (SELECT detector_id, miss, cut, least(t_real, cut) AS t_real FROM miss JOIN worst USING (detector_id)),
+cuts AS (SELECT detector_id, miss, cut, least(t_real, cut) AS t_real FROM miss JOIN worst USING (detector_id){}),
 mix AS (SELECT detector_id, miss, dataset, source, label, count(*) AS n, """ + RATE.format("score > cut") + " AS ai, " + RATE.format("score > t_real AND score <= cut") + " AS abstain, " + RATE.format("score <= t_real") + """ AS real
   FROM ev JOIN cuts USING (detector_id) GROUP BY ALL)"""
 
@@ -274,24 +286,37 @@ def oracle_sql() -> dict[str, str]:
         "loso_worst_source": f"WITH {SP}, {BY_SOURCE}, held AS (SELECT a.detector_id, a.dataset, a.source, max(b.cut) AS cut FROM bysrc a JOIN bysrc b ON a.detector_id = b.detector_id AND (a.dataset <> b.dataset OR a.source <> b.source) GROUP BY ALL) {loso}",
         "loso_pooled": f"""WITH {SP}, fold AS (SELECT h.detector_id, h.dataset, h.source, c.score FROM cal c JOIN (SELECT DISTINCT {SRC} FROM cal) h ON c.detector_id = h.detector_id AND (c.dataset <> h.dataset OR c.source <> h.source)), {_cut('held', 'fold', SRC).replace('SELECT ' + SRC + ', n, score AS cut', 'SELECT ' + SRC + ', score AS cut')} {loso}""",
         "loso_anchor_only": f"WITH {SP}, {_cut('op', ANCHOR_CAL, 'detector_id')}, held AS (SELECT DISTINCT c.detector_id, c.dataset, c.source, op.cut FROM cal c JOIN op USING (detector_id) WHERE c.source <> '{ANCHOR}') {loso}",
-        "abstention_band": f"WITH {MIX.format('0.05')} SELECT * FROM mix",
-        "miss_budget_frontier": f"""WITH {MIX.format('0.1, 0.05, 0.02')} SELECT detector_id, miss, round(max(ai) FILTER (label = 0), 8) AS worst_fp, round(avg(ai) FILTER (label = 1), 8) AS macro_recall,
+        "abstention_band": f"WITH {MIX.format('0.05', '')} SELECT * FROM mix",
+        "miss_budget_frontier": f"""WITH {MIX.format('0.1, 0.05, 0.02', " UNION ALL SELECT detector_id, NULL, cut, '-infinity'::DOUBLE FROM worst")} SELECT detector_id, miss, round(max(ai) FILTER (label = 0), 8) AS worst_fp, round(avg(ai) FILTER (label = 1), 8) AS macro_recall,
             round(avg(abstain), 8) AS macro_abstain, round(avg(real) FILTER (label = 1), 8) AS macro_wrongly_real FROM mix GROUP BY 1, 2""",
         "union_gate": f"""WITH {SP}, {WORST}, arms AS (SELECT dataset, source, label, path, bool_or(score > cut) FILTER (detector_id IN ('tilenet_a', 'freqarm_c')) AS base_hit, max(score) FILTER (detector_id = 'vitscore_b') AS x
               FROM ev JOIN worst USING (detector_id) WHERE label = 0 GROUP BY ALL),
             grid AS (SELECT k, cut + k * 0.5::DOUBLE AS threshold FROM worst, range(0, 61) t(k) WHERE detector_id = 'vitscore_b'),
             per AS (SELECT k, threshold, dataset, source, avg((base_hit OR x > threshold)::INT::DOUBLE) AS u, avg(base_hit::INT::DOUBLE) AS b FROM arms, grid WHERE base_hit IS NOT NULL AND x IS NOT NULL GROUP BY ALL)
             SELECT k, round(threshold, 9) AS threshold, round(max(u), 9) AS worst_fp, round(max(b), 9) AS baseline_worst, max(u) <= greatest(0.1::DOUBLE, max(b)) + 1e-12::DOUBLE AS passes FROM per GROUP BY k, threshold""",
-        "frozen_vs_refit": f"""WITH {SP}, r AS (SELECT *, coalesce(lower(trim(variant)), 'none') IN ('none', '') AS clean FROM sp WHERE label = 0),
-            {_cut('fz', "(SELECT * FROM r WHERE half = 'calibration' AND clean)", SRC)},
-            {_cut('rf', "(SELECT detector_id, dataset, source || CASE WHEN clean THEN '' ELSE '+degraded' END AS source, score FROM r WHERE half = 'calibration')", SRC)},
-            f AS (SELECT detector_id, max(cut) AS frozen FROM fz GROUP BY 1), g AS (SELECT detector_id, max(cut) AS refit FROM rf GROUP BY 1)
-            SELECT {SRC}, count(*) AS n, round(avg((score > frozen)::INT::DOUBLE) FILTER (clean), 9) AS clean_fp, round(avg((score > frozen)::INT::DOUBLE) FILTER (NOT clean), 9) AS frozen_fp,
-            round(avg((score > refit)::INT::DOUBLE) FILTER (NOT clean), 9) AS refit_fp FROM r JOIN f USING (detector_id) JOIN g USING (detector_id) WHERE half = 'evaluation' GROUP BY ALL""",
+        "frozen_vs_refit": f"""WITH {REC}, v AS (SELECT *, coalesce(lower(trim(variant)), 'none') IN ('none', '') AS clean FROM pop),
+            cp AS (SELECT detector_id, orig_path AS path, arg_max(score, (scored_at, score_id)) AS copy_score FROM v WHERE NOT clean AND orig_path IS NOT NULL GROUP BY 1, 2),
+            s0 AS (SELECT v.*, cp.copy_score, row_number() OVER (PARTITION BY v.detector_id, dataset, source, label ORDER BY sha256('2026:' || v.path)) AS rk,
+              count(*) OVER (PARTITION BY v.detector_id, dataset, source, label) AS pn FROM v LEFT JOIN cp ON v.detector_id = cp.detector_id AND v.path = cp.path WHERE clean),
+            s AS (SELECT *, pn >= 2 AND rk <= least(pn - 1, greatest(1, round_even(pn * 0.5::DOUBLE, 0))) AS is_cal FROM s0),
+            {_cut('fz', "(SELECT * FROM s WHERE is_cal AND label = 0)", SRC)},
+            {_cut('rf', "(SELECT detector_id, dataset, source, copy_score AS score FROM s WHERE is_cal AND label = 0 AND copy_score IS NOT NULL)", SRC)},
+            f AS (SELECT detector_id, max(cut) AS cut FROM fz GROUP BY 1), g AS (SELECT detector_id, max(cut) AS cut FROM rf GROUP BY 1),
+            e AS (SELECT s.*, 'clean' AS setting, score AS x, cut FROM s JOIN f USING (detector_id) UNION ALL SELECT s.*, 'frozen', copy_score, cut FROM s JOIN f USING (detector_id) WHERE copy_score IS NOT NULL
+              UNION ALL SELECT s.*, 'refit', copy_score, cut FROM s JOIN g USING (detector_id) WHERE copy_score IS NOT NULL),
+            per AS (SELECT detector_id, setting, cut, dataset, source, label, avg((x > cut)::INT::DOUBLE) AS r FROM e WHERE NOT is_cal GROUP BY ALL),
+            a AS ({_auc('(SELECT detector_id, setting, x AS score, label AS pos FROM e)', 'detector_id, setting')})
+            SELECT per.detector_id, per.setting, cut, round(avg(r) FILTER (label = 0), 9) AS macro_fp, round(max(r) FILTER (label = 0), 9) AS worst_fp,
+            arg_max(source, (r, source)) FILTER (label = 0) AS worst_source, round(avg(r) FILTER (label = 1), 9) AS macro_recall, any_value(auc) AS auc
+            FROM per LEFT JOIN a ON per.detector_id = a.detector_id AND per.setting = a.setting GROUP BY 1, 2, 3""",
         "source_diagnostic": f"""WITH {REC} SELECT {SRC}, label, count(*) AS n, round(quantile_cont(width::DOUBLE * height / 1e6::DOUBLE, 0.5), 9) AS median_mpx,
             round(quantile_cont(bytes_per_pixel, 0.5) FILTER (NOT isnan(bytes_per_pixel)), 9) AS median_bpp, round(quantile_cont(score, 0.5), 9) AS median_score FROM pop GROUP BY ALL""",
-        "subgroup_profile": f"""WITH {SP}, {MISS.format('0.05')} SELECT detector_id, score <= t_real AS wrongly_real, count(*) AS n, round(avg(width::DOUBLE * height), 3) AS mean_pixels,
-            round(avg(greatest(width, height)), 6) AS mean_longest FROM ev JOIN miss USING (detector_id) WHERE label = 1 GROUP BY ALL""",
+        "subgroup_profile": f"""WITH {SP}, {MISS.format('0.05')},
+            one AS (SELECT CASE WHEN score <= t_real THEN 'wrongly_real' ELSE 'not_real' END AS part, detector_id, source, score, greatest(width, height)::DOUBLE AS side, bytes_per_pixel AS bpp FROM ev JOIN miss USING (detector_id)
+              WHERE label = 1 AND source = '{GENERATOR}'
+              UNION ALL SELECT CASE label WHEN 1 THEN 'generator' ELSE 'anchor' END, detector_id, source, score, NULL, NULL FROM ev WHERE label = 1 OR source = '{ANCHOR}')
+            SELECT detector_id, part, source, count(*) AS n, round(quantile_cont(side, 0.5), 9) AS median_side, round(quantile_cont(bpp, 0.5) FILTER (NOT isnan(bpp)), 9) AS median_bpp,
+            round(quantile_cont(score, 0.5), 9) AS median_score FROM one GROUP BY ALL""",
         "bootstrap_ci": f"""WITH {SP}, idx AS (SELECT {SRC}, half, score, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY {SRC}, half) AS n FROM sp WHERE label = 0 WINDOW w AS (PARTITION BY {SRC}, half ORDER BY path)),
             dr AS (SELECT {SRC}, half, n, rep, ('0x' || substr(sha256(rep || ':' || half || ':' || dataset || ':' || source || ':' || i), 1, 8))::BIGINT % n AS j FROM idx, range(0, {REPLICATES}) t(rep)),
             dw AS (SELECT dr.*, idx.score FROM dr JOIN idx ON dr.detector_id = idx.detector_id AND dr.dataset = idx.dataset AND dr.source = idx.source AND dr.half = idx.half AND dr.j = idx.i),
@@ -299,17 +324,21 @@ def oracle_sql() -> dict[str, str]:
             fp AS (SELECT rep, {SRC}, avg((score > cut)::INT::DOUBLE) AS fp FROM dw JOIN ct USING (rep, detector_id) WHERE half = 'evaluation' GROUP BY ALL),
             o AS (SELECT rep, detector_id, max(fp) AS worst, avg(fp) AS macro FROM fp GROUP BY ALL)
             SELECT detector_id, round(quantile_cont(worst, 0.025), 9) AS worst_fp_lo, round(quantile_cont(worst, 0.975), 9) AS worst_fp_hi, round(quantile_cont(macro, 0.025), 9) AS macro_fp_lo, round(quantile_cont(macro, 0.975), 9) AS macro_fp_hi FROM o GROUP BY 1""",
-        "roc_curve": f"""WITH {REC}, g AS (SELECT detector_id, floor(score * 100)::BIGINT AS t, sum(label) AS p, sum(1 - label) AS q FROM pop GROUP BY ALL)
-            SELECT detector_id, t, round(sum(p) OVER d / sum(p) OVER (PARTITION BY detector_id), 9) AS tpr, round(sum(q) OVER d / sum(q) OVER (PARTITION BY detector_id), 9) AS fpr FROM g
-            WINDOW d AS (PARTITION BY detector_id ORDER BY t DESC ROWS UNBOUNDED PRECEDING)""",
+        "roc_curve": f"""WITH {REC}, g AS (SELECT detector_id, score, sum(label) AS p, sum(1 - label) AS q FROM pop GROUP BY ALL)
+            SELECT detector_id, score, round(sum(p) OVER d / sum(p) OVER (PARTITION BY detector_id), 9) AS tpr, round(sum(q) OVER d / sum(q) OVER (PARTITION BY detector_id), 9) AS fpr FROM g
+            WINDOW d AS (PARTITION BY detector_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""",
         "score_histogram": f"WITH {REC} SELECT detector_id, label, CASE WHEN score < 0 THEN 0 WHEN score >= 1 THEN 44 ELSE floor(score * 43)::BIGINT + 1 END::BIGINT AS bin, count(*) AS n FROM pop GROUP BY ALL",
         "confusion": f"WITH {CONF} SELECT * FROM c",
         "classification_report": f"""WITH {CONF} SELECT detector_id, round(coalesce((tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), 0), 9) AS accuracy, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 9) AS precision,
             round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c""",
-        "fp_profile": f"WITH {REC} SELECT {SRC}, count(*) AS n, {RATE.format('score >= 0.5::DOUBLE')} AS at_50, {RATE.format('score >= 0.9::DOUBLE')} AS at_90, {RATE.format('score >= 0.99::DOUBLE')} AS at_99 FROM pop WHERE label = 0 GROUP BY ALL",
+        "fp_profile": f"""WITH {REC}, x AS (SELECT detector_id, dataset, source, score FROM pop WHERE label = 0 UNION ALL SELECT detector_id, 'ALL', 'ALL', score FROM pop WHERE label = 0)
+            SELECT {SRC}, count(*) AS n, {RATE.format('score >= 0.5::DOUBLE')} AS at_50, {RATE.format('score >= 0.9::DOUBLE')} AS at_90, {RATE.format('score >= 0.99::DOUBLE')} AS at_99,
+            round(quantile_cont(score, 0.5), 9) AS median, round(quantile_cont(score, 0.95), 9) AS p95 FROM x GROUP BY ALL""",
         "multi_arm_alignment": f"WITH {REC} SELECT a.path, a.score AS tilenet_a, b.score AS vitscore_b, c.score AS freqarm_c FROM pop a JOIN pop b USING (path) JOIN pop c USING (path) WHERE a.detector_id = 'tilenet_a' AND b.detector_id = 'vitscore_b' AND c.detector_id = 'freqarm_c'",
-        "input_policy": f"""WITH {REC} SELECT a.detector_id, lower(trim(a.variant)) AS variant, count(*) AS n, round(avg((a.score - b.score > 0)::INT::DOUBLE), 9) AS raised, round(quantile_cont(a.score - b.score, 0.5), 9) AS median_move
-            FROM pop a JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path WHERE a.orig_path <> a.path AND a.variant IS NOT NULL GROUP BY 1, 2""",
+        "input_policy": f"""WITH {SP}, {WORST} SELECT a.detector_id, lower(trim(a.variant)) AS variant, a.label, count(*) AS n, round(avg((a.score - b.score > 0)::INT::DOUBLE), 9) AS raised,
+            round(avg((b.score > cut)::INT::DOUBLE), 9) AS flagged_before, round(avg((a.score > cut)::INT::DOUBLE), 9) AS flagged_after,
+            round(quantile_cont(b.score, 0.5), 9) AS median_before, round(quantile_cont(a.score, 0.5), 9) AS median_after, round(quantile_cont(a.score - b.score, 0.5), 9) AS median_move
+            FROM pop a JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path JOIN worst ON worst.detector_id = a.detector_id WHERE a.orig_path <> a.path AND a.variant IS NOT NULL GROUP BY 1, 2, 3""",
         "library_promise": f"""WITH {SP}, {BY_SOURCE}, f AS (SELECT detector_id, max(cut) FILTER (source <> '{EXTRA}') AS frozen, max(cut) AS refit FROM bysrc GROUP BY 1)
             SELECT detector_id, frozen, refit, {', '.join(f"round(avg((score > {t})::INT::DOUBLE) FILTER ({c}), 9) AS {t}_{n}" for n, c in (('fp', f"label = 0 AND source = '{EXTRA}'"), ('recall', 'label = 1')) for t in ('frozen', 'refit'))}
             FROM ev JOIN f USING (detector_id) WHERE frozen IS NOT NULL GROUP BY ALL""",
@@ -317,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
               count(*) OVER (PARTITION BY detector_id, dataset, source, label, seed) AS pn FROM pop, (SELECT unnest([42, 1337, 2024]) AS seed)),
             e AS (SELECT detector_id, seed, score, label AS pos FROM s0 WHERE NOT (pn >= 2 AND rk <= least(pn - 1, greatest(1, round_even(pn * 0.5::DOUBLE, 0))))),
             a AS ({_auc('e', 'detector_id, seed').replace('round(', '(').replace(', 9) END', ') END')}) SELECT detector_id, count(*) AS n, round(avg(auc), 9) AS mean, round(stddev_pop(auc), 9) AS std FROM a GROUP BY 1""",
-        "stored_bytes": "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1",
+        "stored_bytes": "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, row_number() OVER (ORDER BY coalesce(sum(strlen(text)), 0) DESC, source NULLS LAST) AS rank FROM documents GROUP BY 1",
         "degraded_pairs": f"WITH {REC} SELECT a.score_id, a.score AS copy_score, b.score AS clean_score FROM pop a LEFT JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path WHERE a.orig_path IS NOT NULL AND a.orig_path <> a.path",
     }
 
