@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from assayer.session import Scratch
 
 # Letters of other scripts that look like a Latin letter, each above the letter it looks like.
-LOOKALIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳАВЕЅІЈКМНОРСТУХҮҺԌԚԜӀаеорсухѕіјһԁԛԝӏүɡɑѐёїӑӓӗӧЀЁЇӐӒӖӦ"
-LATIN__ = "ABEZHIKMNOPTYXovcjABESIJKMHOPCTYXYhGQWIaeopcyxsijhdqwlygaèëïăäĕöÈËÏĂÄĔÖ"
+LOOKALIKE = "ᎠᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏟᏢᏦᏞᏴՕՍոսօհցⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿρΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳАВЕЅІЈКМНОРСТУХҮҺԌԚԜӀаеорсухѕіјһԁԛԝӏүɡɑѐёїӑӓӗӧЀЁЇӐӒӖӦ"
+LATIN__ = "DTAJEWMHGZSCPKLBOUnuohgIVXLCDMivxlcdmpABEZHIKMNOPTYXovcjABESIJKMHOPCTYXYhGQWIaeopcyxsijhdqwlygaèëïăäĕöÈËÏĂÄĔÖ"
 # Kinds of hyphen.
 HYPHENS = "‐‑﹣－"
 # Invisible characters, as ranges of a regular expression.
@@ -97,6 +97,28 @@ def canonical_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return duckdb_map(rows, f"SELECT doc_id, text, {canonical_sql('text')} AS canonical FROM batch", "doc_id bigint, text string, canonical string")
 
 
+def marks(docs: DataFrame, scratch: Scratch, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, raw, form): 128-bit digests of each text and of its canonical form. Null texts and texts without a visible
+    character have no row."""
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    out = duckdb_map(
+        rows,
+        f"SELECT doc_id, unhex(md5(text)) AS raw, unhex(md5(c)) AS form FROM (SELECT doc_id, text, {canonical_sql('text')} AS c FROM batch) "
+        r"WHERE regexp_matches(c, '[^\s\x{85}\x{A0}\x{2028}\x{2029}\x{2800}]')",
+        "doc_id bigint, raw binary, form binary",
+    )
+    return scratch.write(out, "marks")
+
+
+def look_alike_classes(docs: DataFrame, scratch: Scratch, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_docs, n_texts): one row for each document whose text coincides with a different one in its
+    canonical form; class_id is the least doc_id of the class. As many rows as documents, however large a class."""
+    found = marks(docs, scratch, doc, text)
+    texts = found.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    classes = texts.groupBy("form").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_texts")).where("n_texts > 1")
+    return found.join(classes, "form").select("doc_id", "class_id", "n_docs", "n_texts")
+
+
 def look_alikes(docs: DataFrame, scratch: Scratch, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), the smaller first: documents with different texts of one canonical form.
 
@@ -105,20 +127,13 @@ def look_alikes(docs: DataFrame, scratch: Scratch, doc: str = "doc_id", text: st
     canonical form, and only then joined back to their documents, so a mass of exact copies is never compared
     with itself. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    marks = duckdb_map(
-        rows,
-        f"SELECT doc_id, unhex(md5(text)) AS raw, unhex(md5(c)) AS form FROM (SELECT doc_id, text, {canonical_sql('text')} AS c FROM batch) "
-        r"WHERE regexp_matches(c, '[^\s\x{85}\x{A0}\x{2028}\x{2029}\x{2800}]')",
-        "doc_id bigint, raw binary, form binary",
-    )
-    marks = scratch.write(marks, "marks")
-    classes = marks.select("form", "raw").distinct()
+    found = marks(docs, scratch, doc, text)
+    classes = found.select("form", "raw").distinct()
     many = classes.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     classes = scratch.write(classes.join(many, "form"), "classes")
     pairs = classes.select("form", F.col("raw").alias("raw_a")).join(classes.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b")
     out = (
-        pairs.join(marks.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("a")), "raw_a")
-        .join(marks.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("b")), "raw_b")
+        pairs.join(found.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("a")), "raw_a")
+        .join(found.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("b")), "raw_b")
     )
     return out.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

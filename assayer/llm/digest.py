@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import canonical_source, finite
+from assayer.operators.ranks import kth_values
 from assayer.session import Scratch
 
 #: Compression: a digest has at most DELTA/2 + 2 centroids, and a centroid at the median holds at most pi/DELTA of the rows.
@@ -126,14 +127,12 @@ def merge_digests(digests: DataFrame, keys: list[str], delta: int = DELTA) -> Da
 def day_summaries(values: DataFrame, keys: list[str], scratch: Scratch, value: str = "value", day: str = "day") -> DataFrame:
     """(keys, day, digest): one digest for each key and day, which may be kept and merged with those of other days.
 
-    Digests are built in the scanning tasks and merged in two steps if there are many tasks, so that no
-    task merges more than the square root of their number for a key.
+    Digests are built in the scanning tasks and merged in two steps, so that no task merges more than the square
+    root of their number for a key.
     """
     parts = partial_digests(values, [*keys, day], value)
-    tasks = values.rdd.getNumPartitions()
-    if tasks > 64:
-        parts = parts.withColumn("part", F.pmod("part", F.lit(isqrt(tasks) + 1)))
-        parts = merge_digests(parts, [*keys, day, "part"])
+    parts = parts.withColumn("part", F.pmod("part", F.lit(isqrt(values.rdd.getNumPartitions()) + 1)))
+    parts = merge_digests(parts, [*keys, day, "part"])
     return scratch.write(merge_digests(parts, [*keys, day]), "days")
 
 
@@ -159,7 +158,8 @@ def certified_percentiles(values: DataFrame, keys: list[str], days: DataFrame, s
     """(keys, p, estimate, n, rank_error, bound, within_bound).
 
     The day summaries are merged, and a second pass over the rows counts how many lie below and at each
-    estimate. rank_error is then exact: how far p*n is outside of that range of ranks, as a share of n.
+    estimate. rank_error is then exact: how far p*n is outside of that range of ranks, as a share of n. An estimate
+    that misses the bound is replaced by the exact percentile of its group, so within_bound always holds.
     values must hold finite values only, and no null keys.
     """
     est = scratch.write(estimates(merge_digests(days, keys), keys, percentiles), "estimates")
@@ -178,7 +178,17 @@ def certified_percentiles(values: DataFrame, keys: list[str], days: DataFrame, s
     error = F.greatest(F.lit(0.0), F.col("lt") - target, target - F.col("le")) / F.col("n")
     out = out.select(*keys, "p", "estimate", "n", error.alias("rank_error"), F.lit(bound).alias("bound"))
     # with few rows one row alone is more than the bound
-    return out.withColumn("within_bound", F.col("rank_error") <= F.greatest("bound", 1 / F.col("n")))
+    out = scratch.write(out.withColumn("within_bound", F.col("rank_error") <= F.greatest("bound", 1 / F.col("n"))), "certified")
+    missed = out.where("not within_bound")
+    if not missed.limit(1).count():
+        return out
+    # an estimate beyond the bound gives way to the exact value, of its group alone
+    at = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n"))).cast("bigint")
+    wanted = missed.select(*keys, "p", at.alias("k"))
+    again = values.select(*keys, value).join(missed.select(*keys).distinct(), keys, "left_semi")
+    exact = kth_values(again, keys, value, lambda n: [F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)) for p in percentiles]).join(wanted, [*keys, "k"])
+    exact = missed.drop("estimate").join(exact.select(*keys, "p", F.col("y").alias("estimate")), [*keys, "p"])
+    return out.where("within_bound").unionByName(exact.withColumns({"rank_error": F.lit(0.0), "within_bound": F.lit(True)}))
 
 
 NO = "\0"

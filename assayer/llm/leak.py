@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.canon import canonical_sql, duckdb_map
+from assayer.session import Scratch
 
 #: Words in a row that make a passage.
 WORDS = 10
 #: Evaluation text that one pass over the corpus looks for; more of it is looked for in further passes.
-PASS_CHARS = 64_000_000
+PASS_CHARS = 4_000_000
 
 WORDS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -19,26 +20,34 @@ WORDS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 class Grams:
     """The set of all runs of n words of the evaluation texts: exact word codes, found by a rolling hash."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int):
+    def __init__(self, items: list[int], words: "pa.ListArray", n: int):
+        import pyarrow.compute as pc
+
         self.n = n
-        self.words = sorted({w for _, ws in items for w in ws})
-        code = {w: i for i, w in enumerate(self.words)}
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for item, ws in items:
-            cs = [code[w] for w in ws]
-            for i in range(len(cs) - n + 1):
-                rows.setdefault(tuple(cs[i : i + n]), set()).add(item)
-        self.codes = np.array(list(rows), dtype=np.int64).reshape(-1, n)
+        flat = words.flatten()
+        coded = flat.dictionary_encode()
+        self.words = coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        width = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(width)), width)
+        at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1]) if len(owner) >= n else np.zeros(0, np.int64)
+        windows = code[at[:, None] + np.arange(n)[None, :]]
+        owners = np.asarray(items, dtype=np.int64)[owner[at]]
         for salt in range(100):
             self.base = np.uint64(0x9E3779B97F4A7C15 + 2 * salt)
-            h = self.hash(self.codes)
-            if len(np.unique(h)) == len(h):
+            h = self.hash(windows)
+            order = np.lexsort((owners, h))
+            h, windows, owners = h[order], windows[order], owners[order]
+            same = h[1:] == h[:-1]
+            if (windows[1:][same] == windows[:-1][same]).all():
                 break
-        order = np.argsort(h)
-        self.hashes, self.codes = h[order], self.codes[order]
-        owners = [sorted(s) for s in rows.values()]
-        self.owners = np.concatenate([np.array(owners[i], dtype=np.int64) for i in order]) if len(order) else np.zeros(0, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum([len(owners[i]) for i in order]))).astype(np.int64)
+        else:
+            raise RuntimeError("no hash tells the passages apart")
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (owners[1:] != owners[:-1]))) if len(h) else np.zeros(0, bool)
+        h, windows, self.owners = h[once], windows[once], owners[once]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        self.hashes, self.codes = h[first], windows[first]
+        self.starts = np.concatenate((first, [len(h)])).astype(np.int64)
 
     def hash(self, windows: np.ndarray) -> np.ndarray:
         h = np.zeros(len(windows), dtype=np.uint64)
@@ -65,12 +74,12 @@ class Grams:
         return doc[rows], self.owners[pick]
 
 
-def leaking(docs: DataFrame, items: DataFrame, words: int = WORDS, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaking(docs: DataFrame, items: DataFrame, words: int = WORDS, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id): each document that holds at least `words` words in a row of an item, once for each item.
 
     Words are runs of letters and digits of the canonical form (canon), in lower case; what lies between them
     doesn't matter. The evaluation set is what is broadcast: its runs of words as a hash set, in several passes if
-    it holds more than PASS_CHARS characters. Each document's words are mapped to codes, windows of known words
+    it holds more than PASS_CHARS characters; so a broadcast has at most half as many windows, of some sixty bytes each. Each document's words are mapped to codes, windows of known words
     are looked up by rolling hash, and each hit is verified word by word. Null and short texts hold nothing;
     items of fewer words can't leak. Whole documents are scanned, whatever their length.
     """
@@ -78,11 +87,15 @@ def leaking(docs: DataFrame, items: DataFrame, words: int = WORDS, doc: str = "d
     sized = items.select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).where("text is not null and item_id is not null")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-total // PASS_CHARS) or 1
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    rows = duckdb_map(rows, f"SELECT doc_id, {WORDS_SQL.format(canonical_sql('text'))} AS words FROM batch", "doc_id bigint, words array<string>") if passes > 1 else rows
+    if passes > 1:  # the words are made once for all passes
+        rows = (scratch or Scratch(spark, "leak")).write(rows, "words")
     out = None
     for k in range(passes):
         part = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        got = duckdb_map(part, f"SELECT item_id, {WORDS_SQL.format(canonical_sql('text'))} AS words FROM batch", "item_id bigint, words array<string>")
-        held = spark.sparkContext.broadcast(Grams([(r[0], r[1]) for r in got.collect()], words))
+        got = duckdb_map(part, f"SELECT item_id, {WORDS_SQL.format(canonical_sql('text'))} AS words FROM batch", "item_id bigint, words array<string>").toArrow().combine_chunks()
+        held = spark.sparkContext.broadcast(Grams(got.column("item_id").to_pylist(), _one(got.column("words")), words))
 
         def run(batches, held=held):
             import duckdb
@@ -90,17 +103,18 @@ def leaking(docs: DataFrame, items: DataFrame, words: int = WORDS, doc: str = "d
             import pyarrow.compute as pc
 
             grams = held.value
-            vocabulary = pa.array(grams.words, pa.string())
+            vocabulary = grams.words
             con = duckdb.connect(config={"threads": 1})
             for b in batches:
                 if not b.num_rows:
                     continue
-                con.register("batch", pa.Table.from_batches([b]))
-                got = con.sql(f"SELECT doc_id, {WORDS_SQL.format(canonical_sql('text'))} AS words FROM batch").to_arrow_table().combine_chunks()
-                con.unregister("batch")
-                lists = got.column("words").combine_chunks()
-                if isinstance(lists, pa.ChunkedArray):
-                    lists = pa.concat_arrays(lists.chunks)
+                if "words" in b.schema.names:
+                    got = pa.Table.from_batches([b])
+                else:
+                    con.register("batch", pa.Table.from_batches([b]))
+                    got = con.sql(f"SELECT doc_id, {WORDS_SQL.format(canonical_sql('text'))} AS words FROM batch").to_arrow_table().combine_chunks()
+                    con.unregister("batch")
+                lists = _one(got.column("words"))
                 flat = lists.flatten()
                 codes = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -111,12 +125,20 @@ def leaking(docs: DataFrame, items: DataFrame, words: int = WORDS, doc: str = "d
                     yield pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else ids.combine_chunks(), pa.array(pairs[:, 1])], names=["doc_id", "item_id"])
             con.close()
 
-        rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
         found = rows.mapInArrow(run, "doc_id bigint, item_id bigint")
         out = found if out is None else out.union(found)
     return out
 
 
+def _one(column):
+    """A column as one array."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
 def kept_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """The documents that hold no evaluation passage."""
     return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")

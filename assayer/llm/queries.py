@@ -10,12 +10,12 @@ from assayer.session import Scratch, load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records of each group of two or more tied records."""
-    return splits.tie_groups(load(spark, d, "image_scores"), Scratch(spark, "p1")).where("group_size > 1").select("score_id", "group_id")
+    """Records of each group of two or more tied records: the groups that the split search moved as a whole."""
+    return splits.assign_splits(load(spark, d, "image_scores")).where("group_size > 1").select("score_id", "group_id")
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign_splits(load(spark, d, "image_scores"))
+    return splits.assign_splits(load(spark, d, "image_scores")).select("score_id", "group_id", "split")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.look_alikes(load(spark, d, "documents"), Scratch(spark, "p8"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canon.look_alike_classes(load(spark, d, "documents"), Scratch(spark, "p8"))
+
+
 def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     """The canonical form of every document."""
     return canon.canonical_texts(load(spark, d, "documents")).select("doc_id", "canonical")
@@ -103,7 +107,7 @@ ranked AS (
 def queries() -> dict:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found,
-        p5_percentiles, p5_day_summaries, p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_texts,
+        p5_percentiles, p5_day_summaries, p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_classes, p8_texts,
     )}
 
 

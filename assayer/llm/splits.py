@@ -16,8 +16,8 @@ from assayer.session import Scratch
 
 #: Components larger than this share of all rows are placed first, on the driver; there can be at most 1/share of them.
 HEAVY_SHARE = 0.001
-#: Components that one task anneals.
-BLOCK = 20_000
+#: Components that one task anneals, proposals of one annealing chain, chains of a block and rounds over all blocks.
+BLOCK, STEPS, CHAINS, ROUNDS = 20_000, 160_000, 3, 2
 #: Distinct strata whose numbers are sent to every task at once; beyond that they are joined by a shuffle.
 MAX_STRATA = 4_096
 
@@ -86,10 +86,10 @@ def tie_groups(records: DataFrame, scratch: Scratch, carry: list[Column] | None
     return rows.join(placed, "node").select("score_id", "group_id", "group_size", *extra)
 
 
-def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
-    """Best of a few annealing chains over whole components.
+def _anneal(ids, start, comp, strat, num, goal, seed, chain, steps=STEPS, whole=None):
+    """(cost, state) that one annealing chain ends with: the best state it saw.
 
-    comp, strat, num: the profile in coordinates; goal: strata x splits. Cost is the sum of squared
+    comp, strat, num: the profile in coordinates; goal: strata x splits; whole: the goal of all strata together, if it isn't their sum. Cost is the sum of squared
     deviations relative to the goal, by stratum and, with as much weight as all strata, for the totals. A move puts one component into
     another split, an exchange swaps two; both cost only the strata they touch.
     """
@@ -100,66 +100,62 @@ def _anneal(ids, start, comp, strat, num, goal, seed, passes=3, chains=3):
     prof = [list(zip(strat[i:j].tolist(), num[i:j].tolist(), strict=True)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
     size = [sum(n for _, n in p) for p in prof]
     inv = 1.0 / np.maximum(goal, 1.0)
-    total_inv = len(goal) / np.maximum(goal.sum(0), 1.0)
-    best, best_cost = start, None
-    for chain in range(chains):
-        rng = np.random.default_rng([seed, chain])
-        at = list(start)
-        dev = -goal.copy()
-        for c, p in enumerate(prof):
-            for s, n in p:
-                dev[s, at[c]] += n
-        tot = dev.sum(0)
-        w, t, d, ti = inv.tolist(), tot.tolist(), dev.tolist(), total_inv.tolist()
-        cost = float((dev * dev * inv).sum() + (tot * tot * total_inv).sum())
-        least, since = cost, []  # moves since the best state, to be taken back at the end
-
-        def delta(c, to):
-            o, z, out = at[c], size[c], 0.0
-            for s, n in prof[c]:
-                r, q = d[s], w[s]
-                out += q[to] * n * (2 * r[to] + n) + q[o] * n * (n - 2 * r[o])
-            return out + ti[to] * z * (2 * t[to] + z) + ti[o] * z * (z - 2 * t[o])
-
-        def put(c, to):
-            o = at[c]
-            for s, n in prof[c]:
-                d[s][to] += n
-                d[s][o] -= n
-            t[to] += size[c]
-            t[o] -= size[c]
-            at[c] = to
-            since.append((c, o))
-
-        steps = passes * len(ids)
-        picks, others, tos, dice = rng.integers(len(ids), size=steps).tolist(), rng.integers(len(ids), size=steps).tolist(), rng.integers(1, max(k, 2), size=steps).tolist(), rng.random(steps).tolist()
-        heat = max(cost / max(len(ids), 1), 1e-9)
-        for i in range(steps):
-            c, temp = picks[i], heat * (1 - i / steps) ** 2 + 1e-12
-            if k > 1 and i % 3:
-                to = (at[c] + tos[i]) % k
-                x = delta(c, to)
-                if x <= 0 or dice[i] < exp(-x / temp):
-                    put(c, to)
-                    cost += x
-            elif at[o := others[i]] != at[c]:
-                here, there = at[c], at[o]
-                x = delta(c, there)
-                put(c, there)
-                x += delta(o, here)
-                if x <= 0 or dice[i] < exp(-x / temp):
-                    put(o, here)
-                    cost += x
-                else:
-                    put(c, here)
-            if cost < least - 1e-9:
-                least = cost
-                since.clear()
-        for c, o in reversed(since):
-            at[c] = o
-        if best_cost is None or least < best_cost:
-            best, best_cost = at, least
-    return best
+    whole = goal.sum(0) if whole is None else whole
+    total_inv = len(goal) / np.maximum(whole, 1.0)
+    rng = np.random.default_rng([seed, chain])
+    at = list(start)
+    dev = -goal.copy()
+    for c, p in enumerate(prof):
+        for s, n in p:
+            dev[s, at[c]] += n
+    tot = dev.sum(0) + goal.sum(0) - whole
+    w, t, d, ti = inv.tolist(), tot.tolist(), dev.tolist(), total_inv.tolist()
+    cost = float((dev * dev * inv).sum() + (tot * tot * total_inv).sum())
+    least, since = cost, []  # moves since the best state, to be taken back at the end
+
+    def delta(c, to):
+        o, z, out = at[c], size[c], 0.0
+        for s, n in prof[c]:
+            r, q = d[s], w[s]
+            out += q[to] * n * (2 * r[to] + n) + q[o] * n * (n - 2 * r[o])
+        return out + ti[to] * z * (2 * t[to] + z) + ti[o] * z * (z - 2 * t[o])
+
+    def put(c, to):
+        o = at[c]
+        for s, n in prof[c]:
+            d[s][to] += n
+            d[s][o] -= n
+        t[to] += size[c]
+        t[o] -= size[c]
+        at[c] = to
+        since.append((c, o))
+
+    picks, others, tos, dice = rng.integers(len(ids), size=steps).tolist(), rng.integers(len(ids), size=steps).tolist(), rng.integers(1, max(k, 2), size=steps).tolist(), rng.random(steps).tolist()
+    heat = max(cost / max(len(ids), 1), 1e-9)
+    for i in range(steps):
+        c, temp = picks[i], heat * (1 - i / steps) ** 2 + 1e-12
+        if k > 1 and i % 3:
+            to = (at[c] + tos[i]) % k
+            x = delta(c, to)
+            if x <= 0 or dice[i] < exp(-x / temp):
+                put(c, to)
+                cost += x
+        elif at[o := others[i]] != at[c]:
+            here, there = at[c], at[o]
+            x = delta(c, there)
+            put(c, there)
+            x += delta(o, here)
+            if x <= 0 or dice[i] < exp(-x / temp):
+                put(o, here)
+                cost += x
+            else:
+                put(c, here)
+        if cost < least - 1e-9:
+            least = cost
+            since.clear()
+    for c, o in reversed(since):
+        at[c] = o
+    return least, at
 
 
 def _start(ids: np.ndarray, shares: np.ndarray, seed: int) -> list[int]:
@@ -172,12 +168,13 @@ def _start(ids: np.ndarray, shares: np.ndarray, seed: int) -> list[int]:
 
 
 def assign_splits(records: DataFrame, proportions: dict[str, float] | None = None, seed: int = 7, scratch: Scratch | None = None) -> DataFrame:
-    """(score_id, group_id, split): whole groups, in the given proportions within each source and label.
+    """(score_id, group_id, group_size, split): whole groups, in the given proportions within each source and label.
 
     Component swap search: a hashed start, then moves and exchanges of whole components by annealing.
     Components above a thousandth of all rows, of which there are at most a thousand, are placed first on
-    the driver; what they leave of each stratum's goal is shared out among blocks of the other components,
-    which tasks anneal side by side, each keeping the best of its chains. Null source or label is a stratum of
+    the driver; what they leave of each stratum's goal is shared out among blocks of the other components.
+    Each block is annealed by several chains, each a task of its own, and the best is kept; a second round does the same
+    with other blocks, starting from what the first left. Null source or label is a stratum of
     its own. An empty table gives an empty result.
     """
     proportions = proportions or {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -204,38 +201,52 @@ def assign_splits(records: DataFrame, proportions: dict[str, float] | None = Non
     goal = totals[:, None] * shares[None, :]
     heavy = prof.where(F.col("group_size") > HEAVY_SHARE * rows).orderBy("group_id", "sid").toPandas()
     placed: dict[int, int] = {}
-    rest, light = goal, totals.copy()
+    rest, left = goal, goal.sum(0)
     if len(heavy):
         ids, comp = np.unique(heavy["group_id"].to_numpy(), return_inverse=True)
         sid, num = heavy["sid"].to_numpy(), heavy["n"].to_numpy()
         part = np.zeros(n_strata)
         np.add.at(part, sid, num)
-        at = _anneal(ids, _start(ids, shares, seed), comp, sid, num, part[:, None] * shares[None, :], seed, passes=60)
+        first = _start(ids, shares, seed)
+        _, at = min((_anneal(ids, first, comp, sid, num, part[:, None] * shares[None, :], seed, chain) for chain in range(CHAINS)), key=lambda x: x[0])
         placed = dict(zip(ids.tolist(), at, strict=True))
         used = np.zeros_like(goal)
         np.add.at(used, (sid, np.array(at)[comp]), num)
-        light = totals - part
-        rest = np.maximum(goal - used, 0)
+        rest, left = np.maximum(goal - used, 0), np.maximum(goal.sum(0) - used.sum(0), 0)
     rate = np.divide(rest, np.maximum(rest.sum(1, keepdims=True), 1e-9), where=np.ones_like(rest, dtype=bool))
     others = prof.where(F.col("group_size") <= HEAVY_SHARE * rows)
     blocks = max(1, -(-others.select("group_id").distinct().count() // BLOCK))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["group_id", "sid"])
-        ids, comp = np.unique(pdf["group_id"].to_numpy(), return_inverse=True)
+        ids, at, comp = np.unique(pdf["group_id"].to_numpy(), return_index=True, return_inverse=True)
         sid, num = pdf["sid"].to_numpy(), pdf["n"].to_numpy()
         part = np.zeros(n_strata)
         np.add.at(part, sid, num)
         used, local = np.unique(sid, return_inverse=True)
-        at = _anneal(ids, _start(ids, shares, seed), comp, local, num, (part[:, None] * rate)[used], seed + int(pdf["block"].iloc[0]))
-        return pd.DataFrame({"group_id": ids, "part": np.array(at, dtype=np.int32)})
+        held = pdf["part"].to_numpy()[at]
+        start = held.tolist() if (held >= 0).all() else _start(ids, shares, seed)
+        block, chain = int(pdf["block"].iloc[0]), int(pdf["chain"].iloc[0])
+        # what the strata can't make up for among themselves, the whole of the block still can
+        whole = left / max(left.sum(), 1e-9) * num.sum()
+        cost, state = _anneal(ids, start, comp, local, num, (part[:, None] * rate)[used], seed + block, chain, whole=whole)
+        return pd.DataFrame({"block": block, "chain": chain, "cost": cost, "group_id": ids, "part": np.array(state, dtype=np.int32)})
 
-    block = F.pmod(F.xxhash64("group_id"), F.lit(blocks)).cast("int").alias("block")
-    done = others.select(block, "group_id", "sid", "n").groupBy("block").applyInPandas(run, "group_id bigint, part int")
+    done, chains = None, F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1))).alias("chain")
+    for turn in range(ROUNDS):
+        # other neighbours in each round, so that blocks exchange what they couldn't balance
+        block = F.pmod(F.xxhash64(F.lit(turn), "group_id"), F.lit(blocks)).cast("int").alias("block")
+        now = others.withColumn("part", F.lit(-1)) if done is None else others.join(done, "group_id")
+        tried = now.select(block, "group_id", "sid", "n", "part", chains).groupBy("block", "chain").applyInPandas(
+            run, "block int, chain int, cost double, group_id bigint, part int"
+        )
+        tried = scratch.write(tried, "chains")
+        best = tried.groupBy("block").agg(F.min_by("chain", F.struct("cost", "chain")).alias("chain"))
+        done = tried.join(best, ["block", "chain"]).select("group_id", "part")
     if placed:
         done = done.union(spark.createDataFrame(list(placed.items()), "group_id bigint, part int"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("part") + 1)
-    return grouped.join(done, "group_id").select("score_id", "group_id", name.alias("split"))
+    return grouped.join(done, "group_id").select("score_id", "group_id", "group_size", name.alias("split"))
 
 
 def split_report(records: DataFrame, assigned: DataFrame) -> DataFrame:
