@@ -28,6 +28,30 @@ def capped_size(w: str, h: str, cap: int = 2048) -> tuple[Column, Column, Column
     return over, side(w), side(h)
 
 
+def degraded_size(w: str, h: str, share: float = 0.75, cap: int = 2048) -> tuple[Column, Column]:
+    """Width and height after shrinking to a share, rounded half to even, and then to the cap."""
+    small = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * F.lit(share)).cast("int"))
+    sw, sh = small(w), small(h)
+    scale = F.lit(float(cap)) / F.greatest(sw, sh)
+    fit = lambda c: F.when(F.greatest(sw, sh) > cap, F.greatest(F.lit(1), F.bround(c * scale).cast("int"))).otherwise(c)
+    return fit(sw), fit(sh)
+
+
+def bytes_per_pixel(size: Column, w: str, h: str) -> Column:
+    return size / F.greatest(F.col(w).cast("double") * F.col(h), F.lit(1.0))
+
+
+def percent_box(x: Column, y: Column, bw: Column, bh: Column, w: Column, h: Column) -> tuple[Column, Column, Column, Column]:
+    """Left, top, width and height of a box in percent of the picture."""
+    return x * 100.0 / w, y * 100.0 / h, bw * 100.0 / w, bh * 100.0 / h
+
+
+def overlap_area(x: Column, y: Column, w: Column, h: Column, mx: Column, my: Column, mw: Column, mh: Column) -> Column:
+    """Pixels that two rectangles share."""
+    side = lambda a, n, b, m: F.greatest(F.lit(0), F.least(a + n, b + m) - F.greatest(a, b))
+    return side(x, w, mx, mw).cast("double") * side(y, h, my, mh)
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

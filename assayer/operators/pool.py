@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.scalars import band_of
 from assayer.functions.text import canonical_source, finite
-from assayer.operators.ranks import floor_percentile_rank, kth_values, percentiles
+from assayer.operators.ranks import floor_percentile_rank, kth_values, percentiles, positions, running
+from assayer.session import Scratch
 
 SIDE_EDGES = [0.0, 256.0, 512.0, 1024.0, 2048.0]
 BPP_EDGES = [0.0, 0.15, 0.3, 0.6, 1.2]
@@ -90,16 +91,25 @@ def audit_problems(pool: DataFrame) -> DataFrame:
 
 
 def shortcut_rules(pool: DataFrame) -> DataFrame:
-    """One row: can the class be told from the format, shape, size, compression or count alone?"""
-    a = audit(pool)
-    sets = pool.where("label is not null and fmt is not null").groupBy("label").agg(F.array_sort(F.collect_set("fmt")).alias("fmts"))
-    a = a.join(sets, "label", "left")
-    ratio = lambda c: F.max(c) / F.when(F.min(c) > 0, F.min(c))
-    fl = F.flatten(F.collect_list("fmts"))
+    """One row: can the class be told from the format, shape, size, compression or count alone?
+
+    Only two classes are compared; with any other number no rule holds. Formats give a class away where each class has
+    exactly one and they differ.
+    """
+    rows = pool.where("label is not null")
+    a = rows.groupBy("label").agg(
+        F.count("*").alias("n"), F.round(F.avg("square") * 100, 1).alias("square"), F.round(F.avg("bpp"), 3).alias("bpp"),
+        F.count_distinct("fmt").alias("formats"), F.min("fmt").alias("fmt"),
+    )
+    med = percentiles(rows, ["label"], "side", {"side": 0.5}).select("label", F.floor("side").alias("side"))
+    a = a.join(med, "label", "left")
+    ratio = lambda c, least: F.max(c) / F.greatest(F.min(c), F.lit(least))
+    two = F.count("*") == 2
+    flag = lambda c: F.coalesce(two & c, F.lit(False))
     return a.agg(
-        F.count("*").alias("classes"), (F.size(fl) == F.size(F.array_distinct(fl))).alias("format_disjoint"),
-        ((F.max("square_pct") - F.min("square_pct")) > 60).alias("square_gap"), (ratio("median_side") > 2.5).alias("side_gap"),
-        (ratio("mean_ratio") > 3).alias("ratio_gap"), (ratio("n") > 1.5).alias("imbalance"),
+        F.count("*").alias("classes"), flag((F.max("formats") == 1) & (F.min("formats") == 1) & (F.min("fmt") != F.max("fmt"))).alias("format_disjoint"),
+        flag(F.max("square") - F.min("square") > 60).alias("square_gap"), flag(ratio("side", 1) > 2.5).alias("side_gap"),
+        flag(ratio("bpp", 1e-3) > 3).alias("ratio_gap"), flag(ratio("n", 1) > 1.5).alias("imbalance"),
     )
 
 
@@ -191,15 +201,14 @@ def membership_mismatch(a: DataFrame, index_: DataFrame) -> DataFrame:
 
 def stride(df: DataFrame, keys: list[str], order: list[str], k: int, rule: str = "linspace") -> DataFrame:
     """k rows of each key, evenly spaced in the given order: at rounded linspace places, or every (n//k)-th one."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    rows = positions(df, keys, order, Scratch(df.sparkSession, "stride"), "_r")
     if rule == "linspace":
-        places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(float(max(k - 1, 1)))).cast("int"))
-        keep = (F.col("_n") <= k) | F.array_contains(places, F.col("_r"))
+        places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_r_n") - 1) / F.lit(float(max(k - 1, 1)))).cast("bigint"))
+        keep = (F.col("_r_n") <= k) | F.array_contains(places, F.col("_r"))
     else:
-        step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
+        step = F.greatest(F.lit(1), F.floor(F.col("_r_n") / k))
         keep = (F.col("_r") % step == 0) & (F.col("_r") / step < k)
-    return rows.where(keep).drop("_r", "_n")
+    return rows.where(keep).drop("_r", "_r_n")
 
 
 def cap_per_key(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
@@ -233,9 +242,40 @@ def moments(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; equal values are counted together before they are ranked."""
     def ranked(c: str, out: str) -> DataFrame:
-        g = df.groupBy(*keys, c).agg(F.count("*").alias("_c"))
-        upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow))
-        return g.select(*keys, c, (upto - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
+        g = running(df.groupBy(*keys, c).agg(F.count("*").alias("_c")), keys, c, ["_c"])
+        return g.select(*keys, c, (F.col("before__c") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
 
     j = df.join(ranked(x, "_rx"), [*keys, x]).join(ranked(y, "_ry"), [*keys, y])
     return j.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr("_rx", "_ry"), 8).alias("rho"))
+
+
+def checked_label(source: Column, label_map: Column, label: Column) -> Column:
+    """A source's raw label as the project's. Raises where the source has no map or the map lacks the label; a null label
+    is null. Nothing is ever guessed."""
+    here = lambda what: F.raise_error(F.concat(F.lit(what), F.coalesce(source, F.lit("null")), F.lit(" "), label.cast("string"))).cast("int")
+    return (
+        F.when(label.isNull(), None).when(label_map.isNull() | (F.size(label_map) <= 0), here("no label map: "))
+        .when(~F.map_contains_key(label_map, label), here("unmapped label: ")).otherwise(F.try_element_at(label_map, label))
+    )
+
+
+def three_way(df: DataFrame, keys: list[str], id_col: str, test: float, validation: float, seed: int = 42) -> DataFrame:
+    """df with `part`: of each key the first rows by hash are test, the next validation, the rest train; shares of
+    its rows, rounded down, at least one each where the key has three rows or more."""
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    rows = df.withColumn("_h", h)
+    size = lambda n, share: F.when(n < 3, F.floor(n * F.lit(share))).otherwise(F.greatest(F.lit(1), F.floor(n * F.lit(share))))
+    t, v = size(F.col("n"), test), size(F.col("n"), validation)
+    got = kth_values(rows, keys, "_h", lambda n: [size(n, test), size(n, test) + size(n, validation)])
+    cuts = got.groupBy(*keys, "n").agg(F.max(F.when(F.col("k") == t, F.col("y"))).alias("_t"), F.max(F.when(F.col("k") == t + v, F.col("y"))).alias("_v"))
+    part = F.when(F.col("_h") <= F.col("_t"), "test").when(F.col("_h") <= F.col("_v"), "validation").otherwise("train")
+    return rows.join(cuts.drop("n"), keys, "left").withColumn("part", part).drop("_h", "_t", "_v")
+
+
+def matched_ai(df: DataFrame, id_col: str, least: int, seed: int = 42) -> DataFrame:
+    """Equal numbers of real rows from every source with at least `least`, and as many AI rows in all, by hash order."""
+    real = equal_per_source(df.where("label = 0"), id_col, least, seed)
+    n = real.agg(F.count("*").alias("take"))
+    ai = df.where("label = 1").withColumn("_all", F.lit(1))
+    take = n.select(F.lit(1).alias("_all"), "take")
+    return real.unionByName(first_by_hash(ai, ["_all"], id_col, take, seed).drop("_all"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators import protocol, ranks, robust
+from assayer.functions import scalars
+from assayer.operators import protocol, ranks, robust, studies
 from assayer.session import Scratch, load, shared
 
 ANCHOR = "benchyard_real"
 #: The generator that subgroup_profile looks into.
 GENERATOR = "lumen_xl"
+#: The source whose scores capped_override replaces.
+LARGEST = "harbor_phone"
 MISSES = [0.1, 0.05, 0.02, None]
 #: Replicates of bootstrap_ci, whose SQL draws as many, and of bootstrap_intervals, as many as the reference draws.
 REPLICATES, ALL_REPLICATES = 200, 2000
@@ -185,6 +188,21 @@ def input_policy(s, d):
     return out
 
 
+def generator_probe(s, d):
+    """The generators of one dataset under the worst-source cut, against the anchor's real pictures."""
+    sp = _sp(s, d)
+    return studies.generator_probe(sp, "wildprobe", robust.auc_by_generator(sp, ANCHOR))
+
+
+def capped_override(s, d):
+    """Rates of one source's pictures under the worst-source cut with the scores of resized copies in place of their own."""
+    pop, sp = _pop(s, d), _sp(s, d)
+    copies = pop.where("lower(trim(variant)) = 'resize_half' and orig_path is not null").select("detector_id", scalars.stem(F.col("orig_path")).alias("stem"), "score")
+    ev = studies.overridden(sp.where("half = 'evaluation'").withColumn("stem", scalars.stem(F.col("path"))), copies, LARGEST)
+    ev = ev.join(protocol.worst_source_cut(_cal(s, d)), "detector_id")
+    return ev.groupBy(*protocol.POP).agg(F.count("*").alias("n"), F.count_if("was_overridden").alias("n_overridden"), F.round(protocol.rate(F.col("score") > F.col("cut")), 9).alias("flagged_rate"))
+
+
 def library_promise(s, d):
     """False positives on one more real source under the cut of the others, and once it takes part in the fit."""
     sp = _sp(s, d)
@@ -339,6 +357,15 @@ def oracle_sql() -> dict[str, str]:
             round(avg((b.score > cut)::INT::DOUBLE), 9) AS flagged_before, round(avg((a.score > cut)::INT::DOUBLE), 9) AS flagged_after,
             round(quantile_cont(b.score, 0.5), 9) AS median_before, round(quantile_cont(a.score, 0.5), 9) AS median_after, round(quantile_cont(a.score - b.score, 0.5), 9) AS median_move
             FROM pop a JOIN pop b ON a.detector_id = b.detector_id AND a.orig_path = b.path JOIN worst ON worst.detector_id = a.detector_id WHERE a.orig_path <> a.path AND a.variant IS NOT NULL GROUP BY 1, 2, 3""",
+        "generator_probe": f"""WITH {SP}, {WORST}, ai AS (SELECT detector_id, source, score, 1 AS pos FROM ev WHERE label = 1),
+            both_ AS (SELECT * FROM ai UNION ALL SELECT g.detector_id, g.source, ev.score, 0 FROM ev JOIN (SELECT DISTINCT detector_id, source FROM ai) g USING (detector_id) WHERE ev.label = 0 AND ev.source = '{ANCHOR}'),
+            a AS ({_auc('both_', 'detector_id, source')})
+            SELECT x.detector_id, x.source, count(*) AS n, {RATE.format('score > cut')} AS flagged_rate, round(quantile_cont(score, 0.5), 9) AS median_score, any_value(auc) AS auc
+            FROM sp x JOIN worst USING (detector_id) LEFT JOIN a ON a.detector_id = x.detector_id AND a.source = x.source WHERE label = 1 AND dataset = 'wildprobe' GROUP BY 1, 2""",
+        "capped_override": rf"""WITH {SP}, {WORST}, c AS (SELECT detector_id, regexp_replace(regexp_extract(orig_path, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, max(score) AS s FROM pop WHERE lower(trim(variant)) = 'resize_half' AND orig_path IS NOT NULL GROUP BY 1, 2),
+            e AS (SELECT *, CASE WHEN source = '{LARGEST}' THEN regexp_replace(regexp_extract(path, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') END AS stem FROM ev)
+            SELECT e.detector_id, dataset, source, label, count(*) AS n, count(c.s) AS n_overridden, {RATE.format('coalesce(c.s, score) > cut')} AS flagged_rate
+            FROM e JOIN worst USING (detector_id) LEFT JOIN c ON c.detector_id = e.detector_id AND c.stem = e.stem GROUP BY ALL""",
         "library_promise": f"""WITH {SP}, {BY_SOURCE}, f AS (SELECT detector_id, max(cut) FILTER (source <> '{EXTRA}') AS frozen, max(cut) AS refit FROM bysrc GROUP BY 1)
             SELECT detector_id, frozen, refit, {', '.join(f"round(avg((score > {t})::INT::DOUBLE) FILTER ({c}), 9) AS {t}_{n}" for n, c in (('fp', f"label = 0 AND source = '{EXTRA}'"), ('recall', 'label = 1')) for t in ('frozen', 'refit'))}
             FROM ev JOIN f USING (detector_id) WHERE frozen IS NOT NULL GROUP BY ALL""",
