@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import canonical_source
+from assayer.llm.edits import edit_join
 from assayer.llm.hamming import fingerprint, near_pairs
 from assayer.llm.names import MIN_WORDS, name_words
 from assayer.session import Scratch
@@ -48,6 +49,26 @@ def cross_split_pairs(pool: DataFrame, scratch: Scratch, errors: int = ERRORS) -
     return by_print.select("eval_id", "train_id").union(by_name.select("eval_id", "train_id")).distinct()
 
 
+NAME_EDITS = 2
+
+
+def near_names(pool: DataFrame, scratch: Scratch, edits: int = NAME_EDITS) -> DataFrame:
+    """(eval_id, train_id, distance): evaluation and training rows whose names are written alike but for a few letters.
+
+    The edit-distance segment join (edits.edit_join) on the words of a name, sorted and put together; names of fewer
+    than four words take no part.
+    """
+    name = F.array_join(name_words(F.col("location")), " ").alias("text")
+    rows = pool.select("pool_id", F.lower(F.trim("split")).alias("split"), F.when(F.size(name_words(F.col("location"))) >= MIN_WORDS, name).alias("text"))
+    rows = scratch.write(rows.where("text is not null and split in ('train', 'validation', 'test')"), "names")
+    held, train = rows.where("split <> 'train'"), rows.where("split = 'train'")
+    near = edit_join(held, train, edits, scratch)
+    return (
+        near.join(held.select(F.col("pool_id").alias("eval_id"), F.col("text").alias("a")), "a")
+        .join(train.select(F.col("pool_id").alias("train_id"), F.col("text").alias("b")), "b").select("eval_id", "train_id", "distance")
+    )
+
+
 def overlap_report(pool: DataFrame, pairs: DataFrame) -> DataFrame:
     """(split, source, n_rows, n_overlapping) of the evaluation splits; a null source is reported as null."""
     hit = pairs.select(F.col("eval_id").alias("pool_id")).distinct().withColumn("hit", F.lit(1))

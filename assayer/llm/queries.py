@@ -33,6 +33,11 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(pool, overlap.cross_split_pairs(pool, Scratch(spark, "p2")))
 
 
+def p2_names(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation and training rows whose names differ in at most two letters."""
+    return overlap.near_names(load(spark, d, "pool_index"), Scratch(spark, "p2"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_scores(load(spark, d, "image_scores"))[0].select("score_id")
 
@@ -154,7 +159,7 @@ v AS (SELECT * FROM c WHERE regexp_matches(form, '[^\s\x{{85}}\x{{A0}}\x{{2028}}
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_report, p2_found, p2_report, p3_found, p3_cutoffs, p4_found,
+        p1_found, p1_splits, p1_report, p2_found, p2_report, p2_names, p3_found, p3_cutoffs, p4_found,
         p5_percentiles, p5_day_summaries, p6_ids, p6_round_trip, p7_found, p7_items, p7_kept, p8_found, p8_classes, p8_texts,
     )}
 
@@ -164,6 +169,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH RECURSIVE {P1} SELECT score_id, group_id FROM g WHERE n > 1",
         "p2_found": f"WITH {P2} SELECT least(e, t) AS pool_id_a, greatest(e, t) AS pool_id_b FROM hit",
         "p2_report": rf"WITH {P2} SELECT ev.split, nullif(regexp_replace(lower(trim(source)), '[-_\s]+', '_', 'g'), '') AS source, count(*) AS n_rows, count(h.e) AS n_overlapping FROM ev LEFT JOIN (SELECT DISTINCT e FROM hit) h ON h.e = ev.pool_id GROUP BY 1, 2",
+        "p2_names": f"""WITH {P2}, n AS (SELECT pool_id, split, array_to_string(words, ' ') AS t FROM p WHERE words IS NOT NULL), m AS (SELECT DISTINCT e.t AS a, t.t AS b FROM n e JOIN n t ON abs(len(e.t) - len(t.t)) <= 2 AND e.split IN ('validation', 'test') AND t.split = 'train'),
+            k AS (SELECT a, b, levenshtein(a, b)::INT AS distance FROM m) SELECT e.pool_id AS eval_id, t.pool_id AS train_id, distance FROM k JOIN n e ON e.t = a AND e.split IN ('validation', 'test') JOIN n t ON t.t = b AND t.split = 'train' WHERE distance <= 2""",
         "p4_found": f"WITH RECURSIVE {P4} SELECT a AS pool_id, least(a, min(b)) AS group_id FROM r GROUP BY a",
         "p7_found": f"WITH {P7} SELECT * FROM hit",
         "p7_items": f"WITH {P7} SELECT item_id, suite, count(hit.doc_id) AS n_docs FROM eval_items LEFT JOIN hit USING (item_id) GROUP BY 1, 2",
