@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import kernels
-from assayer.operators import models, pool
+from assayer.operators import models, pool, tiles
 from assayer.session import load
 
 
@@ -13,16 +13,44 @@ def metadata_probe(s, d):
     return models.metadata_probe(pool.index(load(s, d, "pool_index")))
 
 
+def probe_folds(s, d):
+    return models.probe_folds(pool.index(load(s, d, "pool_index")))
+
+
+def embedding_probes(s, d):
+    return models.embedding_probes(load(s, d, "embeddings"))
+
+
+def shortcut_probe(s, d):
+    return models.shortcut_probe(load(s, d, "tile_scores"))
+
+
+def tile_extraction(s, d):
+    """(doc_id, n_tiles, kept, below_floor, texture_mean, texture_p50, texture_p90): tiles cut from a 300 x 200 picture of
+    each document, its pixels drawn from digests of the text."""
+    docs = load(s, d, "documents").where("text is not null")
+    rgb = text_bytes(F.col("text"), 300 * 200 * 3)
+    got = tiles.extract(docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(300).alias("width"), F.lit(200).alias("height"), rgb.alias("rgb")))
+    p = lambda q: F.round(F.percentile("texture", F.lit(q)), 6)
+    return got.groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(
+        F.max("n_tiles").alias("n_tiles"), F.count("*").alias("kept"), F.count_if(F.col("texture") < 0.04).alias("below_floor"), F.round(F.avg("texture"), 6).alias("texture_mean"), p(0.5).alias("texture_p50"), p(0.9).alias("texture_p90")
+    )
+
+
 def cluster_report(s, d):
     return models.cluster_report(load(s, d, "embeddings"))
 
 
-def text_tiles(text, side: int = 128):
-    """Raw RGB of a side x side tile from a text: SHA-256 digests of its digest and a counter, so nothing repeats."""
-    blocks = -(-side * side * 3 // 32)
+def text_bytes(text, size: int):
+    """Bytes from a text: SHA-256 digests of its digest and a counter, so nothing repeats."""
     key = F.sha2(text, 256)
-    digests = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.sha2(F.concat(key, F.lit(":"), i.cast("string")), 256))
-    return F.unhex(F.substring(F.array_join(digests, ""), 1, side * side * 6))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(-(-size // 32) - 1)), lambda i: F.sha2(F.concat(key, F.lit(":"), i.cast("string")), 256))
+    return F.unhex(F.substring(F.array_join(digests, ""), 1, size * 2))
+
+
+def text_tiles(text, side: int = 128):
+    """Raw RGB of a side x side tile from a text."""
+    return text_bytes(text, side * side * 3)
 
 
 def tile_features(s, d):
@@ -32,7 +60,7 @@ def tile_features(s, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (metadata_probe, cluster_report, tile_features)}
+    return {f.__name__: f for f in (metadata_probe, probe_folds, embedding_probes, shortcut_probe, cluster_report, tile_features, tile_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,36 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
-    """A small report table as Markdown; `rows` bounds what the driver holds."""
-    got = df.limit(rows).collect()
+    """A small report table as Markdown; `rows` bounds what the driver holds, and a last line says if there are more."""
+    got = df.limit(rows + 1).collect()
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got]) + "\n"
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got[:rows]]
+    return "\n".join(lines + (["", f"Only the first {rows} rows are shown."] if len(got) > rows else [])) + "\n"
+
+
+def export_bytes(df: DataFrame, folder: str, per_class: int | None = None) -> DataFrame:
+    """Writes (name, label, content) as files <folder>/<label>/<name>, the bytes as they are; (label, n) of what was written.
+
+    With per_class only the first names of each class are written. Folders must be reachable by all tasks; a file that
+    is written again after a failure is the same file.
+    """
+    if per_class is not None:
+        w = W.partitionBy("label").orderBy("name")
+        df = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_class).drop("_r")
+
+    def put(batches):
+        import os
+
+        import pandas as pd
+
+        for b in batches:
+            for name, label, content in zip(b["name"], b["label"], b["content"], strict=True):
+                at = os.path.join(folder, str(label))
+                os.makedirs(at, exist_ok=True)
+                safe = os.path.basename(str(name))
+                with open(os.path.join(at, safe + ".part"), "wb") as f:
+                    f.write(content)
+                os.replace(os.path.join(at, safe + ".part"), os.path.join(at, safe))
+            yield pd.DataFrame({"label": b["label"].astype(str)})
+
+    return df.select("name", "label", "content").mapInPandas(put, "label string").groupBy("label").agg(F.count("*").alias("n"))

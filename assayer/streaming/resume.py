@@ -8,20 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer import schemas
+from assayer.functions.text import finite
 from assayer.sources.sinks import strict
 
 
-def latest(scores: DataFrame, order: str) -> DataFrame:
-    """The last record of each (detector_id, path) in an append-only log."""
-    cols = [c for c in scores.columns if c not in ("detector_id", "path")]
-    best = scores.groupBy("detector_id", "path").agg(F.max_by(F.struct(*cols), order).alias("r"))
-    return best.select("detector_id", "path", "r.*")
+#: What names a piece of work; with VARIANT_KEY a picture is scored once in each variant.
+KEY, VARIANT_KEY = ("detector_id", "path"), ("detector_id", "variant", "path")
 
 
-def remaining(work: DataFrame, scores: DataFrame) -> DataFrame:
-    """Work items without a finite score yet."""
-    done = scores.where(F.col("image_score").isNotNull()).select("detector_id", "path").distinct()
-    return work.join(done, ["detector_id", "path"], "left_anti")
+def latest(scores: DataFrame, order: str, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The last record of each key in an append-only log."""
+    cols = [c for c in scores.columns if c not in key]
+    best = scores.groupBy(*key).agg(F.max_by(F.struct(*cols), order).alias("r"))
+    return best.select(*key, "r.*")
+
+
+def remaining(work: DataFrame, scores: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Work items without a finite score yet; a null in the key is a value like any other."""
+    done = scores.where(finite(F.col("image_score"))).select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return work.join(done, same, "left_anti")
 
 
 def run(work: DataFrame, score: Callable[[DataFrame], DataFrame], log: str, checkpoint: str):

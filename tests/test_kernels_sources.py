@@ -75,7 +75,10 @@ def test_file_scan_and_archives(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1] for r in readers.files(spark, str(tmp_path)).select("path").collect()}
     assert got == {"x.jpg", "readme.txt", "z.zip", "t.tar.gz", "broken.zip"}
     assert readers.files(spark, str(tmp_path), images_only=True).count() == 1
-    assert {r["member"] for r in readers.archive_members(readers.files(spark, str(tmp_path))).collect()} == {"in/1.jpg", "in/2.png", "in/5.jpg"}
+    got = readers.archive_members(readers.files(spark, str(tmp_path))).collect()
+    assert {r["member"] for r in got if r["error"] is None} == {"in/1.jpg", "in/2.png", "in/5.jpg"}
+    assert [r["archive"].rsplit("/", 1)[1] for r in got if r["error"] is not None] == ["broken.zip"]
+    assert readers.archive_members(readers.files(spark, str(tmp_path)), None, None).where("error is null").count() == 3
 
 
 def test_parquet_head_and_label_contract(spark, tmp_path):
@@ -85,9 +88,9 @@ def test_parquet_head_and_label_contract(spark, tmp_path):
     got = readers.parquet_head(spark, str(tmp_path), ["label"], 1, F.col("label") == 1).collect()
     assert [(r["label"], r["row_index"]) for r in got] == [(1, 1), (1, 1)]
     paths = [str(tmp_path / f"s{k}.parquet") for k in range(2)]
-    readers.verify_labels(paths, "label", ["real", "ai"])
+    readers.verify_labels(spark, paths, "label", ["real", "ai"])
     with pytest.raises(ValueError):
-        readers.verify_labels(paths, "label", ["ai", "real"])
+        readers.verify_labels(spark, paths, "label", ["ai", "real"])
 
 
 def test_manifest_and_strict_json(spark, tmp_path):
