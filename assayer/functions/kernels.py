@@ -15,6 +15,8 @@ EPS = 1e-8
 BANDS = 16
 GRID = 8
 GREY = np.array([0.299, 0.587, 0.114], dtype=np.float32)
+# Exchanges that bring the median of nine values to the middle.
+MEDIAN_OF_9 = ((1, 2), (4, 5), (7, 8), (0, 1), (3, 4), (6, 7), (1, 2), (4, 5), (7, 8), (0, 3), (5, 8), (4, 7), (3, 6), (1, 4), (2, 5), (4, 7), (4, 2), (6, 4), (4, 2))
 GROUPS = (("channel", 12), ("cross", 6), ("cfa", 6), ("noise", 8), ("spectrum", 18), ("variance", 8), ("grid", 2), ("colour", 8))
 
 
@@ -43,8 +45,11 @@ def moments(x: np.ndarray) -> np.ndarray:
 def residual(x: np.ndarray) -> np.ndarray:
     """What a 3x3 median, edges repeated, doesn't explain."""
     p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="symmetric")
-    win = np.lib.stride_tricks.sliding_window_view(p, (3, 3), axis=(1, 2)).reshape(*x.shape, 9)
-    return x - np.partition(win, 4, axis=-1)[..., 4]
+    h, w = x.shape[1:]
+    v = [p[:, i : i + h, j : j + w] for i in range(3) for j in range(3)]
+    for a, b in MEDIAN_OF_9:
+        v[a], v[b] = np.minimum(v[a], v[b]), np.maximum(v[a], v[b])
+    return x - v[4]
 
 
 def box_mean(x: np.ndarray, size: int = GRID) -> np.ndarray:

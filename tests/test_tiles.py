@@ -26,3 +26,10 @@ def test_query_is_the_kernel_on_whole_tiles(spark):
     got = {r["doc_id"]: r["features"] for r in extras.tile_features(spark, SF).where(F.col("doc_id").isin(ids)).collect()}
     x = np.stack([np.frombuffer(whole_tile(r["text"]), dtype=np.uint8).reshape(128, 128, 3) for r in docs]) / np.float32(255)
     assert np.allclose([got[i] for i in ids], kernels.tile_features(x), rtol=1e-4, atol=1e-5)
+
+
+def test_residual_is_what_a_median_leaves():
+    x = np.random.default_rng(0).integers(0, 9, (3, 20, 17)).astype(np.float32)
+    p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="symmetric")
+    near = np.stack([p[:, i : i + 20, j : j + 17] for i in range(3) for j in range(3)])
+    assert (kernels.residual(x) == x - np.median(near, axis=0)).all()
