@@ -7,10 +7,12 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.functions.digests import PIECE, numbered_heads
 from assayer.operators.protocol import BUDGET, POP, SEED, rate, stable_halves, threshold_at_fpr, worst_source_cut
 from assayer.operators.ranks import auc, kth_values, kth_without, percentiles, positions, running
 from assayer.session import Scratch, let_workers_import
@@ -18,6 +20,8 @@ from assayer.session import Scratch, let_workers_import
 SRC = ["detector_id", "dataset", "source"]
 #: Draws held at once by a worker, and draws that one task makes.
 CHUNK, TASK_DRAWS = 4_000_000, 50_000_000
+#: Parts that the replicates of a hashed bootstrap are dealt to, at least and at most; each is sent the scores once.
+SLICES, MOST_SLICES = 8, 20
 
 
 def auc_by_generator(sp: DataFrame, anchor: str) -> DataFrame:
@@ -224,32 +228,60 @@ def subgroup_profile(sp: DataFrame, generator: str, anchor: str, miss: float) ->
     return out
 
 
+def _drawn(table: DataFrame, replicates: int, fn: Callable[[np.ndarray, np.ndarray, float | None], float], cuts: DataFrame | None, slices: int, tasks: int) -> DataFrame:
+    """(SRC, rep, got): fn(scores by place, places drawn, cut or None) of each replicate of each half in `table`, whose rows are
+    pieces of halves. A task draws one population's places in one slice of the replicates, for all detectors at once."""
+    keys = ["dataset", "source", "half", "slice"]
+    cut = F.create_map().cast("map<int,double>").alias("cuts")
+    given = table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    if cuts is not None:
+        cuts = cuts.groupBy("detector_id", (F.col("rep") % slices).alias("slice")).agg(F.map_from_entries(F.collect_list(F.struct("rep", "cut"))).alias("cuts"))
+        given, cut = given.join(cuts, ["detector_id", "slice"]), F.col("cuts")
+    given = given.select("detector_id", *keys, "n", "piece", "scores", cut)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        dataset, source, half, part = (k.as_py() for k in key)
+        arms: dict[str, tuple[np.ndarray, dict[int, float]]] = {}
+        for row, piece in enumerate(t["piece"].to_pylist()):
+            arm = t["detector_id"][row].as_py()
+            if arm not in arms:
+                arms[arm] = np.empty(t["n"][row].as_py()), dict(t["cuts"][row].as_py())
+            values = t["scores"][row].values.to_numpy(zero_copy_only=False)
+            arms[arm][0][piece * PIECE : piece * PIECE + len(values)] = values
+        most, out = max(len(x) for x, _ in arms.values()), []
+        for rep in range(part, replicates, slices):
+            heads = numbered_heads(f"{rep}:{half}:{dataset}:{source}:".encode(), most)
+            out += [(arm, dataset, source, rep, float(fn(x, heads[: len(x)] % np.uint32(len(x)), cut.get(rep)))) for arm, (x, cut) in arms.items()]
+        return pa.table(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
+
+    schema = pa.schema([*((c, pa.string()) for c in SRC), ("rep", pa.int32()), ("got", pa.float64())])
+    return given.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, "detector_id string, dataset string, source string, rep int, got double")
+
+
 def bootstrap_ci(sp: DataFrame, replicates: int, budget: float = BUDGET) -> DataFrame:
     """(detector_id, worst_fp_lo, worst_fp_hi, macro_fp_lo, macro_fp_hi): 95 % intervals over resamples of every
     real population's halves, the worst-source cut fitted anew in each.
 
     The draw of row i in replicate r is a hash of (r, half, population, i), so it needs no state and repeats
-    exactly; rows are weighted by how often they are drawn, not copied.
+    exactly; no detector is part of it, so detectors share the hashes. Draws stay in the task that makes them: it holds the scores
+    of one half of a population, 8 bytes a row and detector, and gives one value for each replicate.
     """
-    real = sp.where("label = 0").select(*SRC, "half", "score", "path")
-    idx = positions(real, [*SRC, "half"], ["path"], Scratch(sp.sparkSession, "bootstrap"), "i").withColumnRenamed("i_n", "n").drop("path")
-    slots = idx.select(*SRC, "half", "n", "i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    text = F.concat_ws(":", "rep", "half", "dataset", "source", "i")
-    slots = slots.withColumn("j", F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint"), F.col("n")))
-    drawn = slots.groupBy(*SRC, "half", "rep", "j").agg(F.count("*").alias("m")).join(
-        idx.select(*SRC, "half", F.col("i").alias("j"), "score", "n"), [*SRC, "half", "j"]
-    )
-    top = W.partitionBy("rep", *SRC).orderBy(F.desc("score"), F.desc("j")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cal = drawn.where("half = 'calibration'").withColumn("upto", F.sum("m").over(top))
-    cuts = cal.where(F.col("upto") >= F.floor(F.col("n") * F.lit(budget)) + 1).groupBy("rep", *SRC).agg(F.max("score").alias("cut"))
-    worst = cuts.groupBy("rep", "detector_id").agg(F.max("cut").alias("cut"))
-    fp = drawn.where("half = 'evaluation'").join(worst, ["rep", "detector_id"]).groupBy("rep", *SRC).agg(
-        (F.sum(F.when(F.col("score") > F.col("cut"), F.col("m")).otherwise(0)) / F.sum("m")).alias("fp")
-    )
-    one = fp.groupBy("rep", "detector_id").agg(F.max("fp").alias("worst"), F.avg("fp").alias("macro"))
-    lo_hi = lambda c: percentiles(one, ["detector_id"], c, {f"{c}_fp_lo": 0.025, f"{c}_fp_hi": 0.975})
-    out = lo_hi("worst").drop("n").join(lo_hi("macro").drop("n"), "detector_id")
-    return out.select("detector_id", *[F.round(c, 9).alias(c) for c in ("worst_fp_lo", "worst_fp_hi", "macro_fp_lo", "macro_fp_hi")])
+    let_workers_import(sp.sparkSession)
+    real = sp.where("label = 0 and detector_id is not null and dataset is not null").select(*SRC, "half", "score", "path", F.col("path").isNull().alias("last"))
+    scratch = Scratch(sp.sparkSession, "bootstrap")
+    idx = positions(real, [*SRC, "half"], ["last", "path"], scratch, "i").withColumnRenamed("i_n", "n")
+    pieces = idx.groupBy(*SRC, "half", "n", F.floor(F.col("i") / PIECE).cast("int").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("i", "score"))).alias("s"))
+    pieces = scratch.write(pieces.select(*SRC, "half", "n", "piece", F.col("s.score").alias("scores")), "pieces")
+    rows = pieces.agg(F.sum(F.size("scores"))).first()[0] or 0
+    slices = min(replicates, MOST_SLICES, max(SLICES, -(-rows * replicates // (16 * TASK_DRAWS))))
+    tasks = min(replicates, max(24, -(-rows * replicates // TASK_DRAWS)))
+    kth = lambda x, at, _: np.partition(x[at], (k := len(x) - int(len(x) * budget) - 1))[k]
+    beyond = lambda x, at, cut: np.count_nonzero(x[at] > cut) / len(x)
+    cal, ev = (pieces.where(F.col("half") == h) for h in ("calibration", "evaluation"))
+    cuts = _drawn(cal, replicates, kth, None, slices, tasks).groupBy("detector_id", "rep").agg(F.max("got").alias("cut"))
+    one = _drawn(ev, replicates, beyond, cuts, slices, tasks).groupBy("detector_id", "rep").agg(F.max("got").alias("worst_fp"), F.avg("got").alias("macro_fp"))
+    ends = [F.round(F.percentile(c, F.lit(p)), 9).alias(f"{c}_{e}") for c in ("worst_fp", "macro_fp") for e, p in (("lo", 0.025), ("hi", 0.975))]
+    return one.groupBy("detector_id").agg(*ends)
 
 
 def _draws(seed: int, n: int, chunk: int = CHUNK) -> Iterator[np.ndarray]:
