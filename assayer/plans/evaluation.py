@@ -104,8 +104,14 @@ def subgroup_profile(s, d):
     return robust.subgroup_profile(_sp(s, d), GENERATOR, ANCHOR, 0.05)
 
 
+def _real(s: SparkSession, d: str) -> DataFrame:
+    """The real populations with their halves, and only the columns that a resampling needs."""
+    few = lambda t: protocol.populations(t).where("label = 0").select(*protocol.POP, "path", "score")
+    return shared(s, d, "image_scores", "real-halves", lambda t: protocol.stable_halves(shared(s, d, "image_scores", "real", few)))
+
+
 def bootstrap_ci(s, d):
-    return robust.bootstrap_ci(_sp(s, d), REPLICATES)
+    return robust.bootstrap_ci(_real(s, d), REPLICATES)
 
 
 def bootstrap_intervals(s, d):
